@@ -23,11 +23,11 @@ from vecgauge.llm.vector_blocks import blocked, unit_matrix
 
 N_PROJECTIONS = 64
 #: Radii of the virtual rehashing, for distances of unit vectors (0 to 2).
-RADII = (0.6, 0.78, 0.9, 1.05, 1.25, 1.5, 4.0)
+RADII = (0.8, 0.92, 1.06, 1.25, 1.5, 4.0)
 #: Half width of a window as a multiple of radius / sqrt(dimensions): 72 % of the vectors at the radius collide.
 HALF_WIDTH = 1.09
 #: Share of the projections in which a candidate must collide.
-MIN_COLLISIONS = 0.66
+MIN_COLLISIONS = 0.68
 #: The search ends once the k-th best is within this factor of the radius.
 APPROXIMATION = 1.1
 

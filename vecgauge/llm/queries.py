@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vecgauge.llm import quantile_sketch as qs
 from vecgauge.llm.collision_knn import most_similar
+from vecgauge.llm.cut_text import cut_scores, cut_share_by_source
+from vecgauge.llm.leak_search import leaked_items
+from vecgauge.llm.packing import pack, token_counts
 from vecgauge.llm.similarity_clusters import describe_clusters, neighbours_in_order, similarity_clusters
 from vecgauge.llm.term_frequency import mark_terms, term_frequency
 from vecgauge.llm.vector_blocks import usable_vectors
@@ -80,7 +83,36 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(_p6(spark, d)).withColumnRenamed("grp", "cell_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_code_frequency": p1_code_frequency, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_day_sketches": p4_day_sketches}
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    packed = pack(token_counts(read_table(spark, d, "documents")))
+    return packed.select(F.col("item").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), "container_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packing(spark, d).groupBy("container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("item_id", "doc_id").distinct()
+
+
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    return cut_scores(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"), "source"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).where("is_cut").select(F.col("id").alias("doc_id"))
+
+
+def p9_source_shares(spark: SparkSession, d: str) -> DataFrame:
+    return cut_share_by_source(_p9(spark, d))
+
+
+QUERIES = {"p7_packing": p7_packing, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_source_shares": p9_source_shares, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p6_found": p6_found, "p6_clusters": p6_clusters, "p1_found": p1_found, "p1_code_frequency": p1_code_frequency, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_day_sketches": p4_day_sketches}
 
 _NF = "upper(trim(code, ' ' || chr(9)))"
 _P1 = f"""
