@@ -31,7 +31,7 @@ WINDOW, STRIDE = 16, 4
 #: Least share of a passage's squared weight on words of the items; below it no item passage can be near.
 MIN_SHARE = 0.12
 MIN_COSINE = 0.3
-#: Words of an item that a region must hold before it is aligned, and the score that makes a case.
+#: Words of items that a document must hold, and the score of an alignment that makes a case.
 MIN_SHARED, MIN_SCORE, GAP = 9, 11.0, 0.5
 #: Distinct words that few documents hold, of those shared.
 MIN_ANSWER_WORDS, ANSWER_SHARE = 3, 0.05
@@ -181,6 +181,13 @@ def align(regions: list[np.ndarray], items: list[np.ndarray], gap: float = GAP)
     return best
 
 
+def _bound(shared: np.ndarray) -> np.ndarray:
+    """What no alignment with any order of the item's words can exceed: the best run of shared words, less the gaps."""
+    sums = np.cumsum(np.where(shared, np.float32(1), np.float32(-GAP)), axis=1)
+    sums = np.concatenate([np.zeros((len(sums), 1), np.float32), sums], axis=1)
+    return (sums - np.minimum.accumulate(sums, axis=1)).max(axis=1)
+
+
 class Searcher:
     """The items' passages in the latent space, for the tasks."""
 
@@ -220,7 +227,7 @@ class Searcher:
         for block, items in by_block.items():
             region = words[max(0, block * BLOCK - MARGIN) : block * BLOCK + BLOCK + WINDOW + MARGIN]
             shared = self.member[np.array(items)][:, np.where(region >= 0, region, len(self.idf))]
-            enough = shared.sum(axis=1) >= MIN_SHARED
+            enough = _bound(shared) >= MIN_SCORE
             distinct = np.unique(region[region >= 0])
             rare = distinct[self.answer[distinct]]
             enough &= self.member[np.array(items)][:, rare].sum(axis=1) >= MIN_ANSWER_WORDS
