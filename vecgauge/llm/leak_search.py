@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ MIN_SHARED, MIN_SCORE, GAP = 9, 11.0, 0.5
 #: Distinct words that few documents hold, of those shared.
 MIN_ANSWER_WORDS, ANSWER_SHARE = 3, 0.05
 BLOCK, MARGIN = 32, 40
+#: Products of the map tasks are added in this many portions first, so that no task reads those of all.
+PORTIONS = 64
 
 _ENTITY = re.compile(r"&#?\w{2,8};?")
 _TIME = re.compile(r"(?:(?:\A|\n)[ \t]*\d+[ \t]*\r?)?(?:\A|\n)[^\n]*-->[^\n]*")
@@ -118,19 +121,20 @@ def _passage_products(weights, basis):
                 start = np.flatnonzero(np.diff(w[order], prepend=-1))
                 total[w[order][start]] += np.add.reduceat(spread[order], start, axis=0)
         for low in range(0, len(total), 64):
-            yield pd.DataFrame({"block": [low // 64], "product": [total[low : low + 64].tobytes()]})
+            yield pd.DataFrame({"block": [low // 64], "portion": [TaskContext.get().partitionId() % PORTIONS], "product": [total[low : low + 64].tobytes()]})
 
     return run
 
 
 def _sum_products(key, part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"block": [key[0]], "product": [np.sum([np.frombuffer(p, np.float32) for p in part["product"]], axis=0, dtype=np.float64).astype(np.float32).tobytes()]})
+    return pd.DataFrame({"block": [key[0]], "portion": [0], "product": [np.sum([np.frombuffer(p, np.float32) for p in part["product"]], axis=0, dtype=np.float64).astype(np.float32).tobytes()]})
 
 
 def _multiply(words: DataFrame, weights, basis: np.ndarray) -> np.ndarray:
     shared = words.sparkSession.sparkContext.broadcast(np.ascontiguousarray(basis, np.float32))
-    parts = words.mapInPandas(_passage_products(weights, shared), "block int, product binary")
-    rows = parts.groupBy("block").applyInPandas(_sum_products, "block int, product binary").collect()
+    schema = "block int, portion int, product binary"
+    parts = words.mapInPandas(_passage_products(weights, shared), schema).groupBy("block", "portion").applyInPandas(_sum_products, schema)
+    rows = parts.groupBy("block").applyInPandas(_sum_products, schema).collect()
     blocks = {r.block: np.frombuffer(r.product, np.float32) for r in rows}
     shared.unpersist()
     if not blocks:
