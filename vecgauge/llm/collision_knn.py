@@ -119,6 +119,9 @@ def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 6000) -> Dat
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asking = parts.select("grp", F.col("block").alias("qb"), every.alias("db"), F.lit(True).alias("asks"), "id", "vec")
     held = parts.select("grp", every.alias("qb"), F.col("block").alias("db"), F.lit(False).alias("asks"), "id", "vec")
-    found = asking.unionByName(held).groupBy("grp", "qb", "db").applyInPandas(_search(k), "grp string, id long, neighbour long, cosine double")
+    # a task's work is far larger than its bytes: one partition or more for each pair of blocks, which the adaptive planner leaves alone
+    pairs = parts.select("grp", "blocks").distinct().agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1
+    spread = asking.unionByName(held).repartition(int(min(2 * pairs, 20_000)), "grp", "qb", "db")
+    found = spread.groupBy("grp", "qb", "db").applyInPandas(_search(k), "grp string, id long, neighbour long, cosine double")
     best = found.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "neighbour"))), 1, k).alias("best"))
     return best.select("grp", "id", F.posexplode("best").alias("place", "b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"), (F.col("place") + 1).alias("place"))
