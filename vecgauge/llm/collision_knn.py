@@ -27,9 +27,9 @@ RADII = (0.8, 0.92, 1.06, 1.25, 1.5, 4.0)
 #: Half width of a window as a multiple of radius / sqrt(dimensions): 72 % of the vectors at the radius collide.
 HALF_WIDTH = 1.09
 #: Share of the projections in which a candidate must collide.
-MIN_COLLISIONS = 0.68
+MIN_COLLISIONS = 0.66
 #: The search ends once the k-th best is within this factor of the radius.
-APPROXIMATION = 1.1
+APPROXIMATION = 1.05
 
 
 def projections(dims: int, count: int, seed: int) -> np.ndarray:

@@ -216,9 +216,10 @@ class Searcher:
         both = sums[np.minimum(starts + WINDOW, len(words))] - sums[starts]
         starts = starts[both[:, 0] >= MIN_SHARE * both.sum(axis=1)]
         found: set[tuple[int, int]] = set()
-        for low in range(0, len(starts), 2000):
-            part = starts[low : low + 2000]
-            near, window = np.nonzero(_latent(words, part, self.idf, self.space).astype(np.float32) @ self.latent.T >= MIN_COSINE)
+        for low in range(0, len(starts), 500):
+            part = starts[low : low + 500]
+            around = words[part[0] : part[-1] + WINDOW]
+            near, window = np.nonzero(_latent(around, part - part[0], self.idf, self.space).astype(np.float32) @ self.latent.T >= MIN_COSINE)
             found |= set(zip(self.owner[window].tolist(), (part[near] // BLOCK).tolist(), strict=True))
         return found
 
