@@ -92,11 +92,11 @@ def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     Equal scores are counted first, so the ordered pass runs over distinct
     scores only.
     """
-    per = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, score).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
+    per = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, score).agg(F.count("*").cast("double").alias("n_tied"), F.sum(F.col(y).cast("double")).alias("n_tied_pos"))
     below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("midrank", F.coalesce(F.sum("n").over(below), F.lit(0.0)) + (F.col("n") + 1) / 2)
-    out = ranked.groupBy(*keys).agg(F.sum(F.col("midrank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
-    return out.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auroc"))
+    ranked = per.withColumn("midrank", F.coalesce(F.sum("n_tied").over(below), F.lit(0.0)) + (F.col("n_tied") + 1) / 2)
+    out = ranked.groupBy(*keys).agg(F.sum(F.col("midrank") * F.col("n_tied_pos")).alias("rank_sum"), F.sum("n_tied_pos").alias("n_pos"), F.sum(F.col("n_tied") - F.col("n_tied_pos")).alias("n_neg"))
+    return out.select(*keys, F.try_divide(F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
 def monotone_trend(rows: DataFrame, keys: list[str], along: str, value: str) -> DataFrame:
