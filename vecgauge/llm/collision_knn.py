@@ -54,28 +54,40 @@ class SortedProjections:
         """How many windows of each query hold each vector."""
         half = HALF_WIDTH * radius / np.sqrt(self.dims)
         counts = np.zeros((len(projected), len(self.x)), np.uint8 if len(self.values) < 256 else np.uint16)
+        offset, inside = np.empty(counts.shape, np.uint16), np.empty(counts.shape, bool)
         for i, values in enumerate(self.values):
             low = np.searchsorted(values, projected[:, i] - half, "left")
             width = np.searchsorted(values, projected[:, i] + half, "right") - low
-            inside = (self.ranks[i][None, :] - low.astype(np.uint16)[:, None]) < width.astype(np.uint16)[:, None]
+            np.subtract(self.ranks[i][None, :], low.astype(np.uint16)[:, None], out=offset)
+            np.less(offset, width.astype(np.uint16)[:, None], out=inside)
             np.add(counts, inside.view(np.uint8), out=counts)
         return counts
 
+    def _verify(self, query: np.ndarray, own: int, ids: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates that can be among the k best, with their exact cosines; all that tie with the k-th stay."""
+        o = o[ids[o] != own]
+        cosine = np.round(self.x[o] @ query, 12)
+        if len(o) > k:
+            best = cosine >= np.partition(cosine, len(o) - k)[len(o) - k]
+            return o[best], cosine[best]
+        return o, cosine
+
     def nearest(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of queries and vectors and their cosines, the k best of each query except itself."""
         projected = queries @ self.directions
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         need = int(np.ceil(MIN_COLLISIONS * len(self.values)))
-        step = max(8, 1_000_000 // max(1, len(self.x)))
+        step = max(8, 300_000 // max(1, len(self.x)))  # what the counts of a step take stays in the processor's cache
         for at in range(0, len(queries), step):
             active = np.arange(at, min(at + step, len(queries)))
             for radius in RADII:
                 last = radius is RADII[-1]
-                q, o = np.nonzero(self.collisions(projected[active], radius) >= need) if not last else (a.ravel() for a in np.indices((len(active), len(self.x))))
-                other = query_ids[active[q]] != ids[o]
-                q, o = q[other], o[other]
-                cosine = np.concatenate([np.einsum("ij,ij->i", queries[active[q[i : i + 65536]]], self.x[o[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.empty(0)])
-                cosine = np.round(cosine, 12)
+                enough = self.collisions(projected[active], radius) >= need if not last else np.ones((len(active), len(self.x)), bool)
+                q, o = np.nonzero(enough)
+                bounds = np.searchsorted(q, np.arange(len(active) + 1))
+                parts = [self._verify(queries[a], query_ids[a], ids, o[bounds[i] : bounds[i + 1]], k) for i, a in enumerate(active)]
+                q = np.repeat(np.arange(len(active)), [len(c) for _, c in parts])
+                o, cosine = np.concatenate([c for c, _ in parts]), np.concatenate([c for _, c in parts])
                 order = np.lexsort((ids[o], -cosine, q))
                 q, o, cosine = q[order], o[order], cosine[order]
                 start = np.searchsorted(q, np.arange(len(active)))
