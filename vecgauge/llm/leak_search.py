@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from vecgauge.session import cut
 
-#: Items searched at once; more are searched in several passes.
-MAX_ITEMS = 20_000
+#: Items, and characters of their texts, searched at once; more are searched in several passes. They bound what is broadcast.
+MAX_ITEMS, MAX_CHARS = 2_000, 4_000_000
 RANK = 64
 WINDOW, STRIDE = 16, 4
 #: Least share of a passage's squared weight on words of the items; below it no item passage can be near.
@@ -271,8 +271,8 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     stated = items.where("text is not null and item_id is not null").select("item_id", "text")
-    n_items = stated.count()
-    passes = max(1, -(-n_items // MAX_ITEMS))
+    n_items, n_chars = stated.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, -(-n_items // MAX_ITEMS), -(-n_chars // MAX_CHARS))
     found = None
     for i in range(passes):
         rows = stated.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).orderBy("item_id").collect()
