@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecgauge.functions.scalars import dot, l2_normalise, norm, squared_distance
@@ -46,9 +46,9 @@ def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vec", l2_normalise(F.col("vec")))
 
 
-def standardised(vectors: DataFrame) -> DataFrame:
-    """Z-scores with the population deviation; a constant dimension becomes 0."""
-    long = long_form(vectors)
+def standardised(vectors: DataFrame, fit: Column | None = None) -> DataFrame:
+    """Z-scores with the population deviation of the rows of ``fit`` (null: all); a constant dimension becomes 0."""
+    long = long_form(vectors if fit is None else vectors.where(fit))
     stats = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     scale = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("scale"))
     z = F.zip_with("vec", "scale", lambda x, s: (x - s["m"]) / F.when(s["s"] > 0, s["s"]).otherwise(1.0))
@@ -196,10 +196,17 @@ def rankme(vectors: DataFrame) -> float:
 
 
 def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
-    """``vec`` becomes its scores on the axes; the d x r matrix is a literal of the plan."""
-    weights = [F.lit(a.tolist()) for a in axes.T]
-    centred = F.zip_with("vec", F.lit(mean.tolist()), lambda x, m: x - m)
-    return vectors.withColumn("vec", F.array(*[dot(centred, w) for w in weights]))
+    """``vec`` becomes its scores on the axes, a product of each Arrow batch with the d x r matrix; a null vector stays null."""
+
+    @F.pandas_udf("array<double>")
+    def scores(vec: pd.Series) -> pd.Series:
+        there = vec.notna()
+        out = pd.Series([None] * len(vec), index=vec.index, dtype=object)
+        if there.any():
+            out[there] = pd.Series(list((np.stack(vec[there].to_numpy()) - mean) @ axes), index=vec.index[there])
+        return out
+
+    return vectors.withColumn("vec", scores("vec"))
 
 
 def residualised(vectors: DataFrame, covariate: str) -> DataFrame:
