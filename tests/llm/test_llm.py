@@ -243,3 +243,11 @@ def test_cut_texts_of_little(spark):
     schema = "id long, text string, language string, source string"
     assert cut_text.cut_scores(spark.createDataFrame([], schema)).count() == 0
     assert [r.is_cut for r in cut_text.cut_scores(spark.createDataFrame([(1, "one block only", None, None), (2, "x" * 2_000_000 + "\n\nend.", "en", "s")], schema)).collect()].count(True) <= 1
+
+
+def test_bare_number_lines_count_as_one_tail():
+    from vecgauge.llm.cut_text import _alike, _encode
+
+    alike = {_alike(_encode(b)[0]) for b in ("7\n00:01:02,", "117\r\n00:01:02,", "12\n00:01:03,")}
+    assert len(alike) == 1
+    assert _alike(_encode("7\nRoom 12")[0]) != _alike(_encode("17\nRoom 12")[0])
