@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecgauge.operators import preparation, scores, simulate, validation
-from vecgauge.plans.audit_queries import _vectors
+from vecgauge.plans.audit_queries import _V
 from vecgauge.plans.learning_queries import _probe_rows
 from vecgauge.sources.tables import read_table, with_vector
 
@@ -91,9 +91,20 @@ def spherical_prep(spark, d):
     return preparation.prepare(_probe_rows(spark, d), "spherical", F.col("split") == "train", n_drop=1).select("id", "label", "split", "vec")
 
 
-@query()
+@query(f"""with {_V}, w as (select *, case when id % 5 < 3 then 'train' else 'val' end as split from v where id % 5 < 4),
+    p as (select a.split, a.id, a.label, b.label as other, sum(list_distance(a.vec, b.vec)) as total, count(*) as n from w a join w b on a.split = b.split group by all),
+    s as (select split, id, max(total / (n - 1)) filter (other = label and n > 1) as a, min(total / n) filter (other <> label) as b from p group by split, id),
+    sil as (select split, avg(coalesce((b - a) / greatest(a, b), 0)) as silhouette, count(*) as n from s group by split),
+    l as (select split, label, id, unnest(vec) as x, generate_subscripts(vec, 1) as dim from w), c as (select split, label, dim, avg(x) as m, count(*) as n from l group by all), g as (select split, dim, avg(x) as m from l group by all),
+    f as (select l.split, l.label, l.id, sum((x - m) * (x - m)) as d2 from l join c using (split, label, dim) group by all),
+    k as (select split, label, avg(sqrt(d2)) as spread, sum(d2) as within from f group by all), b as (select split, sum(n * (c.m - g.m) * (c.m - g.m)) as between_ from c join g using (split, dim) group by split),
+    x as (select split, count(*) as k, sum(within) as within from k group by split),
+    far as (select i.split, i.label as i, j.label as j, sqrt(sum((i.m - j.m) * (i.m - j.m))) as d from c i join c j on i.split = j.split and i.dim = j.dim and i.label <> j.label group by all),
+    r as (select far.split, i, max((ki.spread + kj.spread) / d) as r from far join k ki on ki.split = far.split and ki.label = i join k kj on kj.split = far.split and kj.label = j group by all), db as (select split, avg(r) as db from r group by split)
+    select split, n, k as n_clusters, round_even(silhouette, 6) as silhouette, round_even((between_ / (k - 1)) / (within / (n - k)), 6) as calinski_harabasz, round_even(db, 6) as davies_bouldin
+    from sil join x using (split) join b using (split) join db using (split)""")
 def metrics_by_split(spark, d):
-    return preparation.metrics_by_split(_probe_rows(spark, d))
+    return preparation.metrics_by_split(_probe_rows(spark, d)).withColumns({c: F.bround(c, 6) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")})
 
 
 @query()
