@@ -1,6 +1,7 @@
 """Training-data operators against brute force on small fixtures."""
 
 import math
+import re
 from datetime import datetime as t
 
 import numpy as np
@@ -251,3 +252,23 @@ def test_bare_number_lines_count_as_one_tail():
     alike = {_alike(_encode(b)[0]) for b in ("7\n00:01:02,", "117\r\n00:01:02,", "12\n00:01:03,")}
     assert len(alike) == 1
     assert _alike(_encode("7\nRoom 12")[0]) != _alike(_encode("17\nRoom 12")[0])
+
+
+def test_contexts_are_counted_exactly_however_many(spark):
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    lines = ["".join(rng.choice(letters, 200)) for _ in range(4000)]  # 0.8 million different contexts of 18 bytes
+    docs = [(i, "\n\n".join(lines[i * 10 : i * 10 + 10]), "s", "en") for i in range(400)]
+    df = spark.createDataFrame(docs, "id long, text string, source string, language string")
+    finals = df.mapInPandas(cut_text._finals, "row long, id long, source string, language string, raw binary, style int, kind int, alike binary, whole_kind int, hashes array<long>").cache()
+    needed = finals.select(F.posexplode("hashes").alias("at", "hash"))
+    counts = {r.hash: (r.everything, r.plain) for r in cut_text.count_contexts(df, finals, needed, needed.count()).collect()}
+    size, last = len(cut_text.CONTEXTS), cut_text.CONTEXTS.index(18)
+    for r in finals.collect():
+        assert [counts[r.hashes[k * size + last]] for k in range(2)] == [(1, 1), (1, 1)]
+    text = "\n\n".join("\n\n".join(d[1].split("\n\n")[:-1]) for d in docs)
+    for r in finals.limit(50).collect():  # of two bytes, in the blocks and in the last tails
+        tail = bytes(r.raw[-2:]).decode()
+        want = len(re.findall(f"(?={tail})", text)) + sum(d[1].endswith(tail) for d in docs)
+        assert counts[r.hashes[0]][0] == want
+    finals.unpersist()
