@@ -197,6 +197,19 @@ def test_leaks_found_and_short_repeats_not(spark):
     assert leak_search.leaked_items(docs_df.limit(0), items_df).count() == 0 and leak_search.leaked_items(docs_df, items_df.limit(0)).count() == 0
 
 
+def test_leaks_of_which_a_third_of_the_rows_are_copies(spark):
+    rng = np.random.default_rng(14)
+    items = [[WORDS[i] for i in rng.permutation(len(WORDS))[:40]] for _ in range(8)]
+    filler = ["the kettle is on the stove again", "she said nothing about the garden", "we walk home tomorrow then"]
+    passage = list(items[3][12:28])
+    for i in (3, 8, 12):
+        passage[i] = "indeed"
+    docs = [(d, _srt(["hello there", *([" ".join(passage)] if d % 3 == 0 else []), *[filler[i] for i in rng.integers(0, 3, 1 if d % 2 else 8)]])) for d in range(120)]
+    items_df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leak_search.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items_df).collect()}
+    assert got == {(3, d) for d in range(0, 120, 3)}
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(9)
     for _ in range(20):

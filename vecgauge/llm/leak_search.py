@@ -5,8 +5,9 @@ markup and common misreadings leave alone. Passages of the corpus are rows of a
 TF-IDF matrix over the words of the evaluation texts; a randomised SVD, whose
 products are formed in the map tasks and added by Spark, gives its latent space.
 Passages near a passage of an item in that space are candidates; a local
-longest-common-subsequence alignment and a check of the answer-bearing words
-decide.
+longest-common-subsequence alignment decides. A word weighs by its rarity in the
+distinct texts of the corpus or in the distinct items, whichever is higher, so
+that a passage of which there are many copies weighs no less.
 
 The evaluation texts are a stated query set of bounded size; the corpus is read
 whole and never leaves the tasks.
@@ -14,6 +15,7 @@ whole and never leaves the tasks.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,8 +36,6 @@ MIN_SHARE = 0.12
 MIN_COSINE = 0.3
 #: Words of items that a document must hold, and the score of an alignment that makes a case.
 MIN_SHARED, MIN_SCORE, GAP = 9, 11.0, 0.5
-#: Distinct words that few documents hold, of those shared.
-MIN_ANSWER_WORDS, ANSWER_SHARE = 3, 0.05
 BLOCK, MARGIN = 32, 40
 #: Products of the map tasks are added in this many portions first, so that no task reads those of all.
 PORTIONS = 64
@@ -81,11 +81,23 @@ def _word_ids(vocabulary):
     return run
 
 
+def _distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each sequence of words once in a task."""
+    seen: set[bytes] = set()
+    for f in frames:
+        digests = [hashlib.blake2b(w, digest_size=16).digest() for w in f["words"]]
+        new = []
+        for d in digests:
+            new.append(d not in seen)
+            seen.add(d)
+        yield f.loc[np.array(new, bool), ["words"]]
+
+
 def _document_frequency(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         parts = [np.unique(np.frombuffer(w, np.int32)) for w in f["words"]]
         counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *parts]) + 1)
-        counts[:1] = 0
+        counts[0] = len(f)  # word -1 counts the texts
         word = np.flatnonzero(counts)
         yield pd.DataFrame({"word": word - 1, "n": counts[word]})
 
@@ -195,8 +207,8 @@ def _bound(shared: np.ndarray) -> np.ndarray:
 class Searcher:
     """The items' passages in the latent space, for the tasks."""
 
-    def __init__(self, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, answer: np.ndarray):
-        self.items, self.idf, self.space, self.answer = items, idf, space.astype(np.float64), answer
+    def __init__(self, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray):
+        self.items, self.idf, self.space = items, idf, space.astype(np.float64)
         starts = [_windows(w) for w in items]
         self.owner = np.repeat(np.arange(len(items)), [len(s) for s in starts])
         self.latent = np.concatenate([_latent(w, s, idf, self.space) for w, s in zip(items, starts, strict=True)]).astype(np.float32)
@@ -233,9 +245,6 @@ class Searcher:
             region = words[max(0, block * BLOCK - MARGIN) : block * BLOCK + BLOCK + WINDOW + MARGIN]
             shared = self.member[np.array(items)][:, np.where(region >= 0, region, len(self.idf))]
             enough = _bound(shared) >= MIN_SCORE
-            distinct = np.unique(region[region >= 0])
-            rare = distinct[self.answer[distinct]]
-            enough &= self.member[np.array(items)][:, rare].sum(axis=1) >= MIN_ANSWER_WORDS
             pairs += [(i, region) for i, ok in zip(items, enough, strict=True) if ok]
         best: dict[int, float] = {}
         for low in range(0, len(pairs), 2000):
@@ -290,14 +299,16 @@ def _one_pass(spark, documents: DataFrame, rows: list) -> DataFrame:
         return empty
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
     words = cut(documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(_word_ids(shared_vocabulary), "doc_id long, words binary"))
-    n_docs = words.count()
-    frequency = np.zeros(len(vocabulary))
-    for r in words.mapInPandas(_document_frequency, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    once = words.mapInPandas(_distinct, "words binary").repartition(F.xxhash64("words")).mapInPandas(_distinct, "words binary")
+    frequency = np.zeros(len(vocabulary) + 1)  # the last is the number of texts
+    for r in once.mapInPandas(_document_frequency, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         frequency[r.word] = r.n
-    idf = np.log(1 + n_docs / (1 + frequency)).astype(np.float64)
+    passages = {tuple(t.tolist()) for _, t in kept}
+    held = np.bincount(np.concatenate([np.unique(t) for t in passages]), minlength=len(vocabulary))
+    idf = np.maximum(np.log(1 + frequency[-1] / (1 + frequency[:-1])), np.log(1 + len(passages) / (1 + held)))
     weights = spark.sparkContext.broadcast(idf.astype(np.float32))
     space = latent_space(words, weights, len(vocabulary))
-    searcher = spark.sparkContext.broadcast(Searcher([t for _, t in kept], idf, space, frequency <= max(20, ANSWER_SHARE * n_docs)))
+    searcher = spark.sparkContext.broadcast(Searcher([t for _, t in kept], idf, space))
     found = words.mapInPandas(_search(searcher), "doc_id long, pos int, score double")
     ids = spark.createDataFrame([(i, int(item)) for i, (item, _) in enumerate(kept)], "pos int, item_id long")
     return found.join(F.broadcast(ids), "pos").select("item_id", "doc_id", "score")
