@@ -210,6 +210,18 @@ def test_leaks_of_which_a_third_of_the_rows_are_copies(spark):
     assert got == {(3, d) for d in range(0, 120, 3)}
 
 
+def test_shortest_leaks_of_the_definition(spark):
+    items = [[f"{w}{i}" for w in WORDS[:40]] for i in ("kra", "tov", "pyn")]
+    cases = {1: (15, (4, 8, 11)), 2: (16, (3, 7, 10, 13))}
+    docs = [(0, _srt(["we walk home tomorrow then", " ".join(items[0][5:13]), "she said nothing about the garden"]))]
+    for d, (n, exchanged) in cases.items():
+        words = [("indeed" if i in exchanged else w) for i, w in enumerate(items[d][9 : 9 + n])]
+        docs.append((d, _srt(["we walk home tomorrow then", " ".join(words[:6]), " ".join(words[6:]), "she said nothing about the garden"])))
+    items_df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leak_search.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items_df).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(9)
     for _ in range(20):

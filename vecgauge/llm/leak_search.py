@@ -34,8 +34,9 @@ WINDOW, STRIDE = 16, 4
 #: Least share of a passage's squared weight on words of the items; below it no item passage can be near.
 MIN_SHARE = 0.12
 MIN_COSINE = 0.3
-#: Words of items that a document must hold, and the score of an alignment that makes a case.
-MIN_SHARED, MIN_SCORE, GAP = 9, 11.0, 0.5
+#: Words of items that a document must hold, and the score of an alignment that makes a case: above what 8 repeated
+#: words reach, and not above 15 with 3 or 16 with 4 exchanged (10.5 and 10) and another word between.
+MIN_SHARED, MIN_SCORE, GAP = 9, 9.5, 0.5
 BLOCK, MARGIN = 32, 40
 #: Products of the map tasks are added in this many portions first, so that no task reads those of all.
 PORTIONS = 64
