@@ -127,6 +127,35 @@ def test_clusters_find_planted_groups(spark, block_rows):
     assert sc.similarity_clusters(vectors.limit(0), k).count() == 0 and sc.neighbours_in_order(out.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("groups", "rows", "block_rows"), [(200, 6000, 1500), (1000, 8000, 2000)])
+def test_clusters_of_many_groups_come_out_whole(spark, groups, rows, block_rows):
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(groups, 32))
+    truth = np.arange(rows) % groups
+    x = centres[truth] + 0.02 * rng.normal(size=(rows, 32))
+    vectors = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    got = sc.similarity_clusters(vectors, spark.createDataFrame([("c", groups)], "grp string, k long"), block_rows).toPandas().set_index("id").cluster
+    assert got.nunique() == groups and len(set(zip(truth, got.loc[range(rows)], strict=True))) == groups
+
+
+def test_clusters_are_never_fewer_than_asked_for(spark):
+    rng = np.random.default_rng(17)
+    x = np.repeat(1 + 0.001 * rng.normal(size=(150, 8)), 3, axis=0)  # 150 distinct vectors, all near each other
+    vectors = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    for k, want in ((150, 150), (149, 149), (400, 150), (0, 1)):
+        assert sc.similarity_clusters(vectors, spark.createDataFrame([("c", k)], "grp string, k long"), 100).select("cluster").distinct().count() == want
+
+
+def test_tree_bounds_its_leaves_and_keeps_the_sums():
+    x = np.random.default_rng(18).normal(size=(3000, 16))
+    tree = sc.FeatureTree(16, 256)
+    tree.insert(np.ones(len(x)), x, (x**2).sum(1))
+    n, linear, square = tree.leaves()
+    assert 128 <= len(n) == tree.size <= 256 and n.sum() == 3000
+    assert np.allclose(linear.sum(0), x.sum(0)) and np.isclose(square.sum(), (x**2).sum())
+    assert all(len(node.n) <= sc.BRANCHING for node in tree.leaf_nodes()) and len(tree.leaf_nodes()) > 1
+
+
 def test_ward_joins_what_is_near():
     n, at = np.ones(6), np.array([[0.0, 0], [0.1, 0], [5, 0], [5.1, 0], [9, 9], [9, 9.1]])
     assert len({tuple(g) for g in np.split(sc.ward(n, at, 3), 3)}) == 3 and len(set(sc.ward(n, at, 1))) == 1 and len(set(sc.ward(n, at, 9))) == 6
