@@ -71,6 +71,54 @@ def test_nearest_recall(spark, block_rows):
     assert close and close <= set(zip(got.id, got.neighbour, strict=True))
 
 
+def test_nearest_by_collisions_within_and_across_blocks(spark):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(4000, 64)) + 0.8
+    x[2000:] = x[:2000] + 0.3 * rng.normal(size=(2000, 64))
+    df = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i in range(4000) for j in np.argsort(-s[i])[:10]}
+    close = {(i, j) for i, j in want if s[i, j] > 0.9}
+    for block_rows in (1200, 4000):
+        got = collision_knn.most_similar(df, 10, block_rows).toPandas()
+        found = set(zip(got.id, got.neighbour, strict=True))
+        assert len(found) == 40_000 and len(want & found) >= 0.9 * len(want) and len(close - found) <= 0.001 * len(close)
+
+
+def test_far_blocks_never_meet(spark):
+    rng = np.random.default_rng(20)
+    truth = np.arange(3000) % 12
+    x = np.eye(16)[truth] + 0.02 * rng.normal(size=(3000, 16))
+    df = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    blocks, directory = collision_knn.near_blocks(df, 100)
+    assert blocks.count() == 3000 and blocks.groupBy("block").count().agg(F.max("count")).first()[0] < 200
+    met, n = collision_knn.block_meetings(df, 10, 100)
+    assert n > 25 and met.count() < 0.25 * n * n  # a twelfth lies near
+    got = collision_knn.most_similar(df, 10, 100).toPandas()
+    assert len(got) == 30_000 and (truth[got.id] == truth[got.neighbour]).all()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i in range(3000) for j in np.argsort(-s[i])[:10]}
+    assert len(want & set(zip(got.id, got.neighbour, strict=True))) >= 0.99 * len(want)
+
+
+def test_nearest_among_many_copies(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 8))
+    x[100:200] = x[100]
+    df = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    got = collision_knn.most_similar(df, 5, 60).toPandas().sort_values(["id", "place"])
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    want = {i: np.lexsort((np.arange(300), -s[i]))[:5].tolist() for i in range(300)}
+    assert got.groupby("id").neighbour.apply(list).to_dict() == want and len(got) == 1500
+
+
 def test_nearest_of_faulty_and_few(spark):
     x = np.array([[1.0, 0, 0], [2, 0, 0], [0, 1, 0], [np.nan, 1, 1], [np.inf, 0, 0], [0, 0, 0], [1, 0, 0], [5, 5, 5]])
     df = usable_vectors(_vector_table(spark, x, ids=[3, 1, 2, 4, 5, 6, 3, 7], cells=["c"] * 7 + ["alone"]), "cell_id", "person_id")

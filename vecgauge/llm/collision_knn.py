@@ -1,35 +1,49 @@
 """The k most similar vectors of every vector, by query-aware collision counting.
 
-Every block of vectors keeps one sorted array per random projection. A query
-opens a window around its own projection in each array; a vector that falls
-into the windows of enough projections is a candidate and is verified by its
-exact cosine. Where the k best found so far are not yet within reach of the
-current radius, the windows grow (virtual rehashing) and collisions are counted
-again; the last radius covers everything, so no query ends with fewer than k
-results while its block has more.
-
-A group is divided into blocks of bounded size, and each task holds one block of
-queries and one of data.
+Every block of vectors keeps one sorted array per random projection, of which
+the outer parts are kept: there a window holds few vectors, and near ones far
+more often than others. A query takes the projections in which it lies farthest
+out and opens a window around its own projection in each of their arrays; a
+vector that falls into enough of these windows is a candidate and is verified by
+its exact cosine. How far the windows grow (virtual rehashing) and how many
+collisions are enough is found on the first queries of a block, which are
+compared with all of it. Queries that end with fewer than k results, and blocks
+in which no window tells near from far, are searched whole.
+
+A group is divided into blocks of bounded size around pivots, so that a block
+holds vectors that are near each other. A query first searches its own block;
+then it visits only those blocks that can hold a vector nearer than its k-th
+best so far, by the angle between it, the pivot and the block's farthest vector.
+Blocks far from each other never meet. Where the vectors have no structure at
+all, no block can be excluded, and the work grows as the square of a group,
+divided over tasks by pairs of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecgauge.llm.vector_blocks import blocked, unit_matrix
+from vecgauge.llm.vector_blocks import unit_matrix
+from vecgauge.session import cut
 
-N_PROJECTIONS = 64
-#: Radii of the virtual rehashing, for distances of unit vectors (0 to 2).
-RADII = (0.8, 0.92, 1.06, 1.25, 1.5, 4.0)
-#: Half width of a window as a multiple of radius / sqrt(dimensions): 72 % of the vectors at the radius collide.
-HALF_WIDTH = 1.09
-#: Share of the projections in which a candidate must collide.
-MIN_COLLISIONS = 0.66
-#: The search ends once the k-th best is within this factor of the radius.
-APPROXIMATION = 1.05
+#: Random projections of a block, those of them a query takes, and the share of an array kept at either end.
+N_PROJECTIONS, N_TAKEN, TAIL = 1024, 32, 0.12
+#: Half width of a window as a multiple of radius / sqrt(dimensions).
+HALF_WIDTH = 0.88
+#: The first queries of a block are searched whole; from them the narrowest windows (as multiples of the distance of the
+#: k-th best) and the highest number of collisions are taken that together find this share of their best at least cost.
+PILOT, GROWTH, COLLISIONS, RECALL = 128, (0.5, 0.75, 1.0, 1.25, 1.5), range(2, 13), 0.94
+#: Relative costs of a vector met in a window and of a verified one.
+MET_COST, VERIFY_COST = 3.0, 70.0
+#: A block of at most so many vectors is verified whole.
+SMALL = 500
+#: Fewer queries than this are verified against the whole block, which costs less than its sorted arrays.
+FEW = 300
+#: Blocks of a group around pivots of their own at most, and the queries of one search, in blocks.
+MAX_PIVOTS, QUERIES_PER_BLOCK = 1024, 4
 
 
 def projections(dims: int, count: int, seed: int) -> np.ndarray:
@@ -40,100 +54,287 @@ def projections(dims: int, count: int, seed: int) -> np.ndarray:
 
 
 class SortedProjections:
-    """Sorted arrays of a block's projections and each vector's rank in them."""
+    """The outer parts of a block's sorted projections, low ends first, then high ends."""
 
     def __init__(self, x: np.ndarray, seed: int = 7):
         self.x, self.dims = x, x.shape[1]
-        self.directions = projections(self.dims, max(N_PROJECTIONS, self.dims), seed)
-        projected = x @ self.directions
-        self.values = np.sort(projected, axis=0).T.copy()
-        self.ranks = np.empty(self.values.shape, np.uint16)
-        np.put_along_axis(self.ranks, np.argsort(projected, axis=0, kind="stable").T, np.arange(len(x), dtype=np.uint16)[None, :], axis=1)
-
-    def collisions(self, projected: np.ndarray, radius: float) -> np.ndarray:
-        """How many windows of each query hold each vector."""
-        half = HALF_WIDTH * radius / np.sqrt(self.dims)
-        counts = np.zeros((len(projected), len(self.x)), np.uint8 if len(self.values) < 256 else np.uint16)
-        offset, inside = np.empty(counts.shape, np.uint16), np.empty(counts.shape, bool)
-        for i, values in enumerate(self.values):
-            low = np.searchsorted(values, projected[:, i] - half, "left")
-            width = np.searchsorted(values, projected[:, i] + half, "right") - low
-            np.subtract(self.ranks[i][None, :], low.astype(np.uint16)[:, None], out=offset)
-            np.less(offset, width.astype(np.uint16)[:, None], out=inside)
-            np.add(counts, inside.view(np.uint8), out=counts)
-        return counts
-
-    def _verify(self, query: np.ndarray, own: int, ids: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates that can be among the k best, with their exact cosines; all that tie with the k-th stay."""
+        self.small, self.seed = len(x) <= SMALL, seed
+
+    def _build(self) -> None:
+        x = self.x
+        self.directions = projections(self.dims, N_PROJECTIONS, self.seed)
+        kept = max(1, int(TAIL * len(x)))
+        self.values = np.empty((2 * N_PROJECTIONS, kept), np.float32)
+        self.order = np.empty((2 * N_PROJECTIONS, kept), np.int64)
+        self.mean, self.spread = np.empty(N_PROJECTIONS, np.float32), np.empty(N_PROJECTIONS, np.float32)
+        narrow = x.astype(np.float32)
+        for low in range(0, N_PROJECTIONS, 64):
+            projected = np.ascontiguousarray((narrow @ self.directions[:, low : low + 64].astype(np.float32)).T)
+            part = np.argpartition(projected, (kept, len(x) - kept), axis=1)
+            self.mean[low : low + 64], self.spread[low : low + 64] = projected.mean(1), projected.std(1) + 1e-12
+            for side, ends in enumerate((part[:, :kept], part[:, len(x) - kept :])):
+                values = np.take_along_axis(projected, ends, axis=1)
+                order = np.argsort(values, axis=1, kind="stable")
+                at = slice(side * N_PROJECTIONS + low, side * N_PROJECTIONS + low + 64)
+                self.values[at] = np.take_along_axis(values, order, axis=1)
+                self.order[at] = np.take_along_axis(ends, order, axis=1)
+
+    def take(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays that each query takes, and its projection in them."""
+        arrays, at = [], []
+        directions = self.directions.astype(np.float32)
+        for low in range(0, len(queries), 1000):
+            projected = queries[low : low + 1000].astype(np.float32) @ directions
+            out = (projected - self.mean) / self.spread
+            best = np.argpartition(-np.abs(out), N_TAKEN, axis=1)[:, :N_TAKEN]
+            arrays.append(best + N_PROJECTIONS * (np.take_along_axis(out, best, axis=1) > 0))
+            at.append(np.take_along_axis(projected, best, axis=1))
+        return np.concatenate(arrays), np.concatenate(at)
+
+    def windows(self, arrays: np.ndarray, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each query's windows in the arrays it takes."""
+        half = np.repeat((HALF_WIDTH * radius / np.sqrt(self.dims)).astype(np.float32), arrays.shape[1])
+        flat, centre = arrays.ravel(), at.ravel()
+        by_array = np.argsort(flat, kind="stable")
+        edges = np.searchsorted(flat[by_array], np.arange(2 * N_PROJECTIONS + 1))
+        low, high = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        for i in np.flatnonzero(np.diff(edges)):
+            own = by_array[edges[i] : edges[i + 1]]
+            low[own] = np.searchsorted(self.values[i], centre[own] - half[own], "left")
+            high[own] = np.searchsorted(self.values[i], centre[own] + half[own], "right")
+        return low.reshape(arrays.shape), high.reshape(arrays.shape)
+
+    def collisions(self, arrays: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, int]:
+        """In how many windows of one query each vector lies, and how many were met in all."""
+        met = np.concatenate([self.order[i, a:b] for i, a, b in zip(arrays.tolist(), low.tolist(), high.tolist(), strict=True)])
+        return np.bincount(met, minlength=len(self.x)), len(met)
+
+    def best(self, query: np.ndarray, own: int, ids: np.ndarray, o: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best candidates by cosine (equal: the smaller id), none of them worse than ``bound``."""
         o = o[ids[o] != own]
         cosine = np.round(self.x[o] @ query, 12)
+        if bound > -1:
+            o, cosine = o[cosine >= bound], cosine[cosine >= bound]
         if len(o) > k:
-            best = cosine >= np.partition(cosine, len(o) - k)[len(o) - k]
-            return o[best], cosine[best]
-        return o, cosine
-
-    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of queries and vectors and their cosines, the k best of each query except itself."""
-        projected = queries @ self.directions
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        need = int(np.ceil(MIN_COLLISIONS * len(self.values)))
-        step = max(8, 300_000 // max(1, len(self.x)))  # what the counts of a step take stays in the processor's cache
-        for at in range(0, len(queries), step):
-            active = np.arange(at, min(at + step, len(queries)))
-            for radius in RADII:
-                last = radius is RADII[-1]
-                enough = self.collisions(projected[active], radius) >= need if not last else np.ones((len(active), len(self.x)), bool)
-                q, o = np.nonzero(enough)
-                bounds = np.searchsorted(q, np.arange(len(active) + 1))
-                parts = [self._verify(queries[a], query_ids[a], ids, o[bounds[i] : bounds[i + 1]], k) for i, a in enumerate(active)]
-                q = np.repeat(np.arange(len(active)), [len(c) for _, c in parts])
-                o, cosine = np.concatenate([c for c, _ in parts]), np.concatenate([c for _, c in parts])
-                order = np.lexsort((ids[o], -cosine, q))
-                q, o, cosine = q[order], o[order], cosine[order]
-                start = np.searchsorted(q, np.arange(len(active)))
-                best = np.arange(len(q)) - start[q] < k
-                q, o, cosine = q[best], o[best], cosine[best]
-                found = np.bincount(q, minlength=len(active))
-                worst = np.full(len(active), np.inf)
-                np.maximum.at(w := np.zeros(len(active)), q, np.sqrt(np.maximum(0, 2 - 2 * cosine)))
-                full = found >= min(k, len(self.x) - 1)
-                worst[full] = w[full]
-                done = (worst <= APPROXIMATION * radius) | last
-                keep = done[q]
-                out.append((active[q[keep]], o[keep], cosine[keep]))
-                active = active[~done]
-                if not len(active):
-                    break
-        return tuple(np.concatenate([x[i] for x in out]) if out else np.empty(0, int) for i in range(3))  # type: ignore[return-value]
-
-
-def _search(k: int):
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        data, asked = part[~part["asks"]], part[part["asks"]]
-        if not len(data) or not len(asked):
+            near = cosine >= np.partition(cosine, len(o) - k)[len(o) - k]
+            o, cosine = o[near], cosine[near]
+        order = np.lexsort((ids[o], -cosine))[:k]
+        return o[order], cosine[order]
+
+    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, bounds: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the positions of its k best vectors, except itself, with their cosines.
+
+        ``bounds`` are cosines that each query has reached elsewhere: only better
+        or equal vectors are sought, at the radius that the bound gives.
+        """
+        every = np.arange(len(self.x))
+        least = np.full(len(queries), -2.0) if bounds is None else bounds
+        out: list[tuple[np.ndarray, np.ndarray]] = [(every[:0], np.zeros(0))] * len(queries)
+
+        def scan(rows: np.ndarray) -> None:
+            for r in rows:
+                out[r] = self.best(queries[r], query_ids[r], ids, every, k, least[r])
+
+        if self.small or len(queries) < FEW:
+            scan(np.arange(len(queries)))
+            return out
+        self._build()
+        arrays, at = self.take(queries)
+        pilot, rest = np.arange(PILOT), np.arange(PILOT, len(queries))
+        scan(pilot)
+        if bounds is None:
+            last = [out[r][1][-1] for r in pilot if len(out[r][1])]
+            radius = np.full(len(queries), np.sqrt(max(0.0, 2 - 2 * np.median(last))))
+        else:
+            radius = np.sqrt(2 - 2 * np.clip(bounds, -1, 1))
+        growth, need = self._windows_needed(arrays[pilot], at[pilot], radius[pilot], [out[r][0] for r in pilot])
+        if growth is None:  # no window tells near from far
+            scan(rest)
+            return out
+        wanted = min(k, len(self.x) - 1) if bounds is None else 0
+        for low in range(0, len(rest), 2000):
+            rows = rest[low : low + 2000]
+            begin, end = self.windows(arrays[rows], at[rows], growth * radius[rows])
+            for j, r in enumerate(rows):
+                o = np.flatnonzero(self.collisions(arrays[r], begin[j], end[j])[0] >= need)
+                out[r] = self.best(queries[r], query_ids[r], ids, o, k, least[r])
+            scan(np.array([r for r in rows if (len(out[r][0]) < wanted if bounds is None else least[r] <= -1)], int))
+        return out
+
+    def _windows_needed(self, arrays: np.ndarray, at: np.ndarray, radius: np.ndarray, truth: list[np.ndarray]) -> tuple[float | None, int]:
+        """Growth of the windows and collisions that find ``RECALL`` of the true vectors of some queries at least cost."""
+        best: tuple[float, float | None, int] = (np.inf, None, 0)
+        if not sum(map(len, truth)):
+            return 1.0, max(COLLISIONS) // 2
+        for growth in GROWTH:
+            low, high = self.windows(arrays, at, growth * radius)
+            counts = [self.collisions(a, b, e) for a, b, e in zip(arrays, low, high, strict=True)]
+            of_true = np.concatenate([c[t] for (c, _), t in zip(counts, truth, strict=True)])
+            spread = np.sum([np.bincount(np.minimum(c, 63), minlength=64) for c, _ in counts], axis=0)
+            for need in COLLISIONS:
+                cost = MET_COST * sum(n for _, n in counts) + VERIFY_COST * spread[need:].sum()
+                if (of_true >= need).mean() >= RECALL and cost < best[0]:
+                    best = cost, growth, need
+        return best[1], best[2]
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _pivots(key, part: pd.DataFrame) -> pd.DataFrame:
+    """As many vectors of a sample as are wanted, each the farthest from those before it."""
+    part = part.sort_values("id")
+    x, wanted = unit_matrix(part["vec"]), int(part["wanted"].iloc[0])
+    taken, near = [0], x @ x[0]
+    while len(taken) < min(wanted, len(x)):
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[taken[-1]])
+    return pd.DataFrame({"g": key[0], "pivot": np.arange(len(taken)), "vec": part["vec"].iloc[taken].to_numpy(), "parts": part["parts"].iloc[0]})
+
+
+def _assign(key, part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """The nearest pivot of each vector, with the angle to it."""
+    if not len(part):
+        return pd.DataFrame({"grp": [], "id": [], "vec": [], "cell": [], "angle": []})
+    x, pivots = unit_matrix(part["vec"]), pivots.sort_values("pivot")
+    cell, cosine = np.zeros(len(x), int), np.empty(len(x))
+    centre = unit_matrix(pivots["vec"])
+    for low in range(0, len(x), 2000):
+        near = x[low : low + 2000] @ centre.T
+        cell[low : low + 2000] = near.argmax(1)
+        cosine[low : low + 2000] = near.max(1)
+    return pd.DataFrame({"grp": key[0], "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cell": cell, "angle": _angle(cosine)})
+
+
+def near_blocks(vectors: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``grp, id, vec, block`` with blocks of about ``block_rows`` near vectors at most, and ``grp, block, pivot, reach``: each block's pivot and the angle of its farthest vector.
+
+    The pivots of a group, one for each ``block_rows`` vectors and at most
+    ``MAX_PIVOTS``, are vectors far from each other out of a sample by the hash
+    of the id of about four for each pivot and 60 more; every vector goes to the
+    nearest pivot, and what a pivot has beyond a block is split by hash.
+    """
+    whole = vectors
+    sizes = whole.groupBy("grp").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("wanted", F.least("parts", F.lit(MAX_PIVOTS)))
+    uniform = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    some = whole.join(sizes, "grp").where(uniform * F.col("n") <= 4 * F.col("wanted") + 60)
+    chosen = some.groupBy("grp").applyInPandas(_pivots, "g string, pivot long, vec array<double>, parts int")
+    pivots = cut(chosen.select("g", "pivot", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    spread = whole.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id", "vec")
+    assigned = cut(
+        spread.groupBy("grp", "part").cogroup(pivots.withColumnRenamed("g", "grp").groupBy("grp", "part"))
+        .applyInPandas(_assign, "grp string, id long, vec array<double>, cell long, angle double")
+    )
+    counts = assigned.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    blocks = assigned.join(counts, ["grp", "cell"]).withColumn("block", F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")))
+    middle = pivots.where("part = 0").select(F.col("g").alias("grp"), F.col("pivot").alias("cell"), F.col("vec").alias("pivot"))
+    reach = blocks.groupBy("grp", "cell", "block").agg(F.max("angle").alias("reach"))
+    return blocks.select("grp", "id", "vec", "block"), reach.join(middle, ["grp", "cell"]).select("grp", "block", "pivot", "reach")
+
+
+def _search_own(k: int):
+    def run(key, part: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({c: [] for c in ("grp", "block", "id", "vec", "near", "cosines", "bound", "visits")})
+        x, ids = unit_matrix(part["vec"]), part["id"].to_numpy()
+        found = SortedProjections(x).nearest(x, ids, ids, k)
+        bound = np.array([c[-1] if len(c) == k else -2.0 for _, c in found])
+        other = directory["other"].to_numpy()
+        away = _angle(x @ unit_matrix(directory["pivot"]).T) - directory["reach"].to_numpy()[None, :]
+        visit = (away <= np.where(bound > -1, _angle(bound), 4.0)[:, None] + 1e-7) & (other != key[1])[None, :]
+        return pd.DataFrame({
+            "grp": key[0], "block": key[1], "id": ids, "vec": part["vec"].to_numpy(), "near": [ids[o] for o, _ in found], "cosines": [c for _, c in found],
+            "bound": bound, "visits": [other[v] for v in visit],
+        })
+
+    return run
+
+
+def _search_other(k: int):
+    def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
             return pd.DataFrame({"grp": [], "id": [], "neighbour": [], "cosine": []})
-        ids, query_ids = data["id"].to_numpy(), asked["id"].to_numpy()
-        q, o, cosine = SortedProjections(unit_matrix(data["vec"])).nearest(unit_matrix(asked["vec"]), query_ids, ids, k)
-        return pd.DataFrame({"grp": key[0], "id": query_ids[q], "neighbour": ids[o], "cosine": cosine})
+        ids, query_ids = held["id"].to_numpy(), asked["id"].to_numpy()
+        found = SortedProjections(unit_matrix(held["vec"])).nearest(unit_matrix(asked["vec"]), query_ids, ids, k, asked["bound"].to_numpy())
+        at = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
+        return pd.DataFrame({"grp": key[0], "id": query_ids[at], "neighbour": ids[np.concatenate([o for o, _ in found])], "cosine": np.concatenate([c for _, c in found])})
 
     return run
 
 
-def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 6000) -> DataFrame:
+def _spread(df: DataFrame, n: int, *keys: str):
+    """Groups over partitions of their own: a task's work is far larger than its bytes, and the adaptive planner leaves a stated number alone."""
+    return df.repartition(int(min(max(2 * n, 1), 20_000)), *keys).groupBy(*keys)
+
+
+def _within_blocks(vectors: DataFrame, k: int, block_rows: int) -> tuple[DataFrame, int]:
+    """The search of each block in itself, with the blocks that each vector has to visit; the number of blocks."""
+    blocks, directory = near_blocks(vectors, block_rows)
+    known = cut(directory)
+    copies = known.select(F.col("grp").alias("g"), F.col("block").alias("other"), F.col("pivot").alias("pivot"), F.col("reach").alias("reach"))
+    copies = known.select(F.col("grp").alias("kg"), F.col("block").alias("kb")).join(copies, F.col("kg") == F.col("g")).drop("g")
+    n_blocks = known.count()
+    own = cut(
+        _spread(blocks, n_blocks, "grp", "block").cogroup(_spread(copies, n_blocks, "kg", "kb"))
+        .applyInPandas(_search_own(k), "grp string, block long, id long, vec array<double>, near array<long>, cosines array<double>, bound double, visits array<long>")
+    )
+    return own, n_blocks
+
+
+def _beyond_copies(whole: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """The vectors to search, and ``grp, id, neighbour, cosine, place`` of the others.
+
+    Of equal vectors only the first k + 1 by id can be among anyone's k nearest;
+    the nearest of any further copy are the first k. Copies are ranked in shares,
+    so that no task sorts all of them.
+    """
+    copy = [F.xxhash64("vec").alias("h"), F.xxhash64("vec", F.lit(1)).alias("h1")]
+    slim = whole.select("grp", "id", *copy)
+    many = slim.groupBy("grp", "h", "h1").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).drop("n")
+    if many.isEmpty():
+        return whole, None
+    keys = ["grp", "h", "h1"]
+    rows = cut(slim.join(many, keys))
+    share = Window.partitionBy(*keys, F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
+    first = rows.withColumn("p", F.row_number().over(share)).where(F.col("p") <= k + 1)
+    first = cut(first.withColumn("p", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("p") <= k + 1))
+    further = rows.join(first.select("grp", "id"), ["grp", "id"], "left_anti")
+    nearest = first.where(F.col("p") <= k).groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("near"))
+    answers = further.join(nearest, keys).select("grp", "id", F.posexplode("near").alias("at", "neighbour"))
+    answers = answers.select("grp", "id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("at") + 1).alias("place"))
+    return whole.join(further.select("grp", "id"), ["grp", "id"], "left_anti"), answers
+
+
+def block_meetings(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> tuple[DataFrame, int]:
+    """``grp, block, visited``: the pairs of blocks of which vectors meet, and the number of blocks."""
+    own, n_blocks = _within_blocks(vectors, k, block_rows)
+    return own.select("grp", "block", F.explode("visits").alias("visited")).distinct(), n_blocks
+
+
+def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> DataFrame:
     """``grp, id, neighbour, cosine, place``: for every vector its k most similar others of the same group.
 
     ``vectors`` has ``grp, id, vec`` with usable vectors and distinct ids within
     a group (see ``usable_vectors``). Equal cosines rank by the smaller id; a
     group of fewer than k + 1 vectors gives all others; a single vector and an
     empty table give no rows. Scale and length of the vectors do not matter.
+    Equal vectors are searched once for the first k + 1 of them, so that a group
+    of copies of any size costs no more than its rows. Each task also holds the pivots of its group's blocks, some hundred bytes
+    for every ``block_rows`` vectors.
     """
-    parts = blocked(vectors, min(block_rows, 60_000))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asking = parts.select("grp", F.col("block").alias("qb"), every.alias("db"), F.lit(True).alias("asks"), "id", "vec")
-    held = parts.select("grp", every.alias("qb"), F.col("block").alias("db"), F.lit(False).alias("asks"), "id", "vec")
-    # a task's work is far larger than its bytes: one partition or more for each pair of blocks, which the adaptive planner leaves alone
-    pairs = parts.select("grp", "blocks").distinct().agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1
-    spread = asking.unionByName(held).repartition(int(min(2 * pairs, 20_000)), "grp", "qb", "db")
-    found = spread.groupBy("grp", "qb", "db").applyInPandas(_search(k), "grp string, id long, neighbour long, cosine double")
+    kept, answers = _beyond_copies(cut(vectors), k)
+    own, _ = _within_blocks(kept, k, block_rows)
+    asking = own.select("grp", "id", "vec", "bound", F.explode("visits").alias("block"))
+    met = asking.groupBy("grp", "block").agg(F.ceil(F.count("*") / (QUERIES_PER_BLOCK * block_rows)).cast("int").alias("parts"))
+    met = cut(met.select(F.col("grp").alias("g"), F.col("block").alias("b"), F.col("parts").alias("parts")))
+    here = (F.col("grp") == F.col("g")) & (F.col("block") == F.col("b"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asked = asking.join(met, here).select("g", "b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vec", "bound")
+    held = own.join(met, here).select(F.col("g").alias("hg"), F.col("b").alias("hb"), every.alias("hpart"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    n_searches = met.agg(F.sum("parts")).first()[0] or 1
+    other = _spread(asked, n_searches, "g", "b", "part").cogroup(_spread(held, n_searches, "hg", "hb", "hpart")).applyInPandas(_search_other(k), "grp string, id long, neighbour long, cosine double")
+    found = own.select("grp", "id", F.explode(F.arrays_zip("near", "cosines")).alias("x")).select("grp", "id", F.col("x.near").alias("neighbour"), F.col("x.cosines").alias("cosine")).unionByName(other)
     best = found.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "neighbour"))), 1, k).alias("best"))
-    return best.select("grp", "id", F.posexplode("best").alias("place", "b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"), (F.col("place") + 1).alias("place"))
+    placed = best.select("grp", "id", F.posexplode("best").alias("place", "b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"), (F.col("place") + 1).alias("place"))
+    return placed if answers is None else placed.unionByName(answers)
