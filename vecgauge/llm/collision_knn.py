@@ -43,7 +43,7 @@ SMALL = 500
 #: Fewer queries than this are verified against the whole block, which costs less than its sorted arrays.
 FEW = 300
 #: Blocks of a group around pivots of their own at most, and the queries of one search, in blocks.
-MAX_PIVOTS, QUERIES_PER_BLOCK = 1024, 4
+MAX_PIVOTS, QUERIES_PER_BLOCK = 1024, 2
 
 
 def projections(dims: int, count: int, seed: int) -> np.ndarray:
@@ -58,6 +58,7 @@ class SortedProjections:
 
     def __init__(self, x: np.ndarray, seed: int = 7):
         self.x, self.dims = x, x.shape[1]
+        self.narrow = x.astype(np.float32)
         self.small, self.seed = len(x) <= SMALL, seed
 
     def _build(self) -> None:
@@ -67,9 +68,8 @@ class SortedProjections:
         self.values = np.empty((2 * N_PROJECTIONS, kept), np.float32)
         self.order = np.empty((2 * N_PROJECTIONS, kept), np.int64)
         self.mean, self.spread = np.empty(N_PROJECTIONS, np.float32), np.empty(N_PROJECTIONS, np.float32)
-        narrow = x.astype(np.float32)
         for low in range(0, N_PROJECTIONS, 64):
-            projected = np.ascontiguousarray((narrow @ self.directions[:, low : low + 64].astype(np.float32)).T)
+            projected = np.ascontiguousarray((self.narrow @ self.directions[:, low : low + 64].astype(np.float32)).T)
             part = np.argpartition(projected, (kept, len(x) - kept), axis=1)
             self.mean[low : low + 64], self.spread[low : low + 64] = projected.mean(1), projected.std(1) + 1e-12
             for side, ends in enumerate((part[:, :kept], part[:, len(x) - kept :])):
@@ -111,6 +111,9 @@ class SortedProjections:
 
     def best(self, query: np.ndarray, own: int, ids: np.ndarray, o: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """The k best candidates by cosine (equal: the smaller id), none of them worse than ``bound``."""
+        if len(o) > 4 * k:  # in single precision first; what can be among the best is computed exactly
+            rough = self.narrow[o] @ query.astype(np.float32)
+            o = o[rough >= max(np.partition(rough, len(o) - k - 1)[len(o) - k - 1], bound) - 1e-5]
         o = o[ids[o] != own]
         cosine = np.round(self.x[o] @ query, 12)
         if bound > -1:
