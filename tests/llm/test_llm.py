@@ -299,6 +299,42 @@ def test_shortest_leaks_of_the_definition(spark):
     assert got == {(1, 1), (2, 2)}
 
 
+def test_leaks_in_other_scripts_and_wrong_encodings(spark):
+    rng = np.random.default_rng(22)
+    stems, ends = ["кор", "вел", "мос", "дур", "тен", "шал", "гор", "лис"], ["ать", "ение", "ый", "ами", "ок", "ина"]
+    cyrillic = [f"{a}{b}{c}" for a in stems for b in ("", "ма", "до") for c in ends]
+    han = [chr(c) for c in range(0x5000, 0x5190)]
+    items = [[cyrillic[i] for i in rng.permutation(len(cyrillic))[:40]] for _ in range(4)] + [["".join(han[i] for i in rng.permutation(len(han))[:60])] for _ in range(4)]
+    text = lambda i, low, high: " ".join(items[i][low:high]) if i < 4 else items[i][0][low:high]
+    other = [" ".join(cyrillic[i] for i in rng.integers(0, len(cyrillic), 6)) for _ in range(40)]
+    docs, want = [], set()
+    for d in range(32):
+        i, lines = d % 8, [other[j] for j in rng.integers(0, 40, 8)]
+        lines[4:4] = [text(i, 10, 10 + (18 if d % 4 else 7))]
+        t = _srt(lines).upper() if d % 3 == 0 else _srt(lines)
+        if d % 4 == 1:
+            t = t.encode("utf-8").decode("latin-1")
+        if d % 4 == 2 and i < 4:
+            t = t.encode("cp1251").decode("latin-1")
+        docs.append((d, t))
+        if d % 4:
+            want.add((i, d))
+    items_df = spark.createDataFrame([(i, text(i, 0, 60)) for i in range(8)], "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in leak_search.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items_df).collect()}
+    assert got == want
+
+
+def test_leaks_of_several_passes_equal_those_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    items = [[WORDS[i] for i in rng.permutation(len(WORDS))[:40]] for _ in range(9)]
+    docs = [(d, _srt(["hello there", " ".join(items[d % 9][5:22]), "we walk home tomorrow then"])) for d in range(30)]
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = {(d % 9, d) for d in range(30)}
+    for most in (2_000, 4):
+        monkeypatch.setattr(leak_search, "MAX_ITEMS", most)
+        assert {(r.item_id, r.doc_id) for r in leak_search.leaked_items(docs_df, items_df).collect()} == want
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(9)
     for _ in range(20):

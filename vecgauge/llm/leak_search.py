@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from vecgauge.session import cut
 
-#: Items, and characters of their texts, searched at once; more are searched in several passes. They bound what is broadcast.
-MAX_ITEMS, MAX_CHARS = 2_000, 4_000_000
+#: Items, and characters of their texts, searched at once; more are searched in several passes. They bound what is broadcast:
+#: some 200,000 words of 12 bytes, as many rows of the latent space and a quarter as many passages, of 256 bytes each, 65 MB at most.
+MAX_ITEMS, MAX_CHARS = 2_000, 1_000_000
 RANK = 64
 WINDOW, STRIDE = 16, 4
 #: Least share of a passage's squared weight on words of the items; below it no item passage can be near.
@@ -38,6 +39,8 @@ MIN_COSINE = 0.3
 #: words reach, and not above 15 with 3 or 16 with 4 exchanged (10.5 and 10) and another word between.
 MIN_SHARED, MIN_SCORE, GAP = 9, 9.5, 0.5
 BLOCK, MARGIN = 32, 40
+#: Cells of a product of passages and item passages that a task forms at once.
+PRODUCT_CELLS = 8_000_000
 #: Products of the map tasks are added in this many portions first, so that no task reads those of all.
 PORTIONS = 64
 
@@ -60,8 +63,48 @@ _SKELETON = _skeleton_table()
 _DROPPED = bytes(c for c in range(128) if not chr(c).isalnum() and chr(c) not in " \n\r\t|")
 
 
+#: Letters of scripts other than Latin, and those written without spaces, of which each letter counts as a word.
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2c00-\u2dff\u2e80-\u2fff\u3005-\u3007\u3040-\ud7ff\uf900-\ufaff\ufb1d-\ufdff\ufe70-\ufefc\uff66-\uffdc\U00010000-\U0001efff\U00020000-\U0003ffff]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: What the bytes 80 to 9f are read as, where they are read as Windows-1252.
+_HIGH = "\x80-\xbf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
+_UTF8_MISREAD = re.compile(f"(?:[\xcd-\xdf][{_HIGH}]|[\xe0-\xef][{_HIGH}]{{2}}|\xf0[{_HIGH}]{{3}}|[ ])*(?:[\xcd-\xdf][{_HIGH}]|[\xe0-\xef][{_HIGH}]{{2}}|\xf0[{_HIGH}]{{3}})")
+_CYRILLIC_MISREAD = re.compile("(?<![A-Za-z])[\xa8\xb8\xc0-\xff]{3,}(?![A-Za-z])")
+_CYRILLIC_LETTERS = re.compile("[\xa8\xb8\xc0-\xff]+")
+#: Words that consist of accented letters only, from which on a text counts as Cyrillic read as Latin.
+MISREAD_WORDS = 8
+
+
+def _as_utf8(match: re.Match) -> str:
+    raw = b"".join(c.encode("cp1252") if ord(c) > 255 else c.encode("latin-1") for c in match.group())
+    return raw.decode("utf-8", "replace")
+
+
+def _repaired(text: str) -> str:
+    """Letters of other scripts in place of those that a wrong encoding has made of them; Latin ones may stay as they are."""
+    text = _UTF8_MISREAD.sub(_as_utf8, text)
+    if len(_CYRILLIC_MISREAD.findall(text)) >= MISREAD_WORDS:
+        text = _CYRILLIC_LETTERS.sub(lambda m: m.group().encode("latin-1").decode("cp1251", "replace"), text)
+    return text
+
+
+def _other_words(text: str) -> list[bytes]:
+    """Words of a text in which other scripts occur; in these the letters count as they are, in lower case."""
+    words: list[bytes] = []
+    for word in _UNSPACED.sub(r" \g<0> ", text.lower()).split():
+        if _OTHER_SCRIPT.search(word):
+            words.append("".join(c for c in word if c.isalnum()).encode("utf-8", "replace"))
+        else:
+            words += _latin_words(word)
+    return words
+
+
 def skeleton_words(text: str) -> list[bytes]:
-    """Words as skeletons: ASCII letters and digits, letters that are often misread for one another alike."""
+    """Words as skeletons: ASCII letters and digits, letters that are often misread for one another alike; accented letters are left out.
+
+    Words of other scripts keep all their letters, after wrong encodings have been
+    repaired; in scripts without spaces each letter is a word.
+    """
     if "&" in text:
         text = _ENTITY.sub("", text)
     if "-->" in text:
@@ -70,9 +113,53 @@ def skeleton_words(text: str) -> list[bytes]:
         text = _MARKUP.sub(" ", text)
     if ":" in text:
         text = _SPEAKER.sub("", text)
+    if not text.isascii():
+        text = _repaired(text)
+        if _OTHER_SCRIPT.search(text):
+            return _other_words(text)
+    return _latin_words(text)
+
+
+def _latin_words(text: str) -> list[bytes]:
     return text.encode("ascii", "ignore").translate(_SKELETON, _DROPPED).replace(b"rn", b"m").replace(b"vv", b"w").split()
 
 
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+def _word_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words as 64-bit hashes, for several passes over one reading of the texts."""
+    known: dict[bytes, int] = {}
+    for f in frames:
+        if len(known) > 200_000:
+            known.clear()
+        rows = []
+        for t in f["text"]:
+            words = skeleton_words(t)
+            for w in words:
+                if w not in known:
+                    known[w] = _hash(w)
+            rows.append(np.array([known[w] for w in words], np.int64).tobytes())
+        yield pd.DataFrame({"doc_id": f["doc_id"], "words": rows})
+
+
+def _ids_of_hashes(vocabulary):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = np.array([_hash(w) for w in vocabulary.value], np.int64)
+        order = np.argsort(hashes).astype(np.int32)
+        hashes = hashes[order]
+        for f in frames:
+            rows = []
+            for raw in f["words"]:
+                words = np.frombuffer(raw, np.int64)
+                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+                rows.append(np.where(hashes[at] == words, order[at], -1).astype(np.int32).tobytes())
+            yield pd.DataFrame({"doc_id": f["doc_id"], "words": rows})
+
+    return run
+
+
 def _word_ids(vocabulary):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = vocabulary.value.get
@@ -209,15 +296,12 @@ class Searcher:
     """The items' passages in the latent space, for the tasks."""
 
     def __init__(self, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray):
-        self.items, self.idf, self.space = items, idf, space.astype(np.float64)
+        self.items, self.idf, self.space = items, idf, space.astype(np.float32)
         starts = [_windows(w) for w in items]
         self.owner = np.repeat(np.arange(len(items)), [len(s) for s in starts])
         self.latent = np.concatenate([_latent(w, s, idf, self.space) for w, s in zip(items, starts, strict=True)]).astype(np.float32)
         self.foreign = float(np.median(idf)) ** 2
-        self.held = [np.unique(w) for w in items]
-        self.member = np.zeros((len(items), len(idf) + 1), bool)
-        for i, w in enumerate(self.held):
-            self.member[i, w] = True
+        self.held = np.unique(np.concatenate([w.astype(np.int64) + i * (len(idf) + 1) for i, w in enumerate(items)]))
 
     def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
         """``(item, block of words)`` with a passage near one of the item's."""
@@ -229,8 +313,9 @@ class Searcher:
         both = sums[np.minimum(starts + WINDOW, len(words))] - sums[starts]
         starts = starts[both[:, 0] >= MIN_SHARE * both.sum(axis=1)]
         found: set[tuple[int, int]] = set()
-        for low in range(0, len(starts), 500):
-            part = starts[low : low + 500]
+        step = max(8, min(500, PRODUCT_CELLS // max(1, len(self.latent))))
+        for low in range(0, len(starts), step):
+            part = starts[low : low + step]
             around = words[part[0] : part[-1] + WINDOW]
             near, window = np.nonzero(_latent(around, part - part[0], self.idf, self.space).astype(np.float32) @ self.latent.T >= MIN_COSINE)
             found |= set(zip(self.owner[window].tolist(), (part[near] // BLOCK).tolist(), strict=True))
@@ -244,7 +329,8 @@ class Searcher:
             by_block.setdefault(block, []).append(item)
         for block, items in by_block.items():
             region = words[max(0, block * BLOCK - MARGIN) : block * BLOCK + BLOCK + WINDOW + MARGIN]
-            shared = self.member[np.array(items)][:, np.where(region >= 0, region, len(self.idf))]
+            key = np.array(items)[:, None] * (len(self.idf) + 1) + np.where(region >= 0, region, len(self.idf))[None, :]
+            shared = self.held[np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)] == key
             enough = _bound(shared) >= MIN_SCORE
             pairs += [(i, region) for i, ok in zip(items, enough, strict=True) if ok]
         best: dict[int, float] = {}
@@ -277,29 +363,34 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, text``. Null and
     empty texts hold nothing; texts of any length are read whole; items of fewer
     words than a case needs are never found; items that share a passage and
-    repeated documents are each reported. Empty tables give no rows.
+    repeated documents are each reported. Texts of any script count, in scripts
+    without spaces by the letter. Empty tables give no rows.
     """
     spark = documents.sparkSession
     stated = items.where("text is not null and item_id is not null").select("item_id", "text")
     n_items, n_chars = stated.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     passes = max(1, -(-n_items // MAX_ITEMS), -(-n_chars // MAX_CHARS))
+    texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+    if passes > 1:  # the texts are read once
+        texts = cut(texts.mapInPandas(_word_hashes, "doc_id long, words binary"))
     found = None
     for i in range(passes):
         rows = stated.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).orderBy("item_id").collect()
-        part = _one_pass(spark, documents, rows)
+        part = _one_pass(spark, texts, rows)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _one_pass(spark, documents: DataFrame, rows: list) -> DataFrame:
+def _one_pass(spark, texts: DataFrame, rows: list) -> DataFrame:
     empty = spark.createDataFrame([], "item_id long, doc_id long, score double")
     vocabulary: dict[bytes, int] = {}
-    texts = [[vocabulary.setdefault(w, len(vocabulary)) for w in skeleton_words(r.text)] for r in rows]
-    kept = [(r.item_id, np.array(t, np.int32)) for r, t in zip(rows, texts, strict=True) if len(t) >= MIN_SHARED]
+    stated = [[vocabulary.setdefault(w, len(vocabulary)) for w in skeleton_words(r.text)] for r in rows]
+    kept = [(r.item_id, np.array(t, np.int32)) for r, t in zip(rows, stated, strict=True) if len(t) >= MIN_SHARED]
     if not kept:
         return empty
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
-    words = cut(documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(_word_ids(shared_vocabulary), "doc_id long, words binary"))
+    to_ids = _word_ids if "text" in texts.columns else _ids_of_hashes
+    words = cut(texts.mapInPandas(to_ids(shared_vocabulary), "doc_id long, words binary"))
     once = words.mapInPandas(_distinct, "words binary").repartition(F.xxhash64("words")).mapInPandas(_distinct, "words binary")
     frequency = np.zeros(len(vocabulary) + 1)  # the last is the number of texts
     for r in once.mapInPandas(_document_frequency, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
