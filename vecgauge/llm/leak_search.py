@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from vecgauge.session import cut
 
 #: Items, and characters of their texts, searched at once; more are searched in several passes. They bound what is broadcast:
-#: some 200,000 words of 12 bytes, as many rows of the latent space and a quarter as many passages, of 256 bytes each, 65 MB at most.
+#: some 200,000 words of a bit for each item and a row of the latent space, and a quarter as many passages, of 256 bytes
+#: each, 115 MB at most.
 MAX_ITEMS, MAX_CHARS = 2_000, 1_000_000
 RANK = 64
 WINDOW, STRIDE = 16, 4
@@ -68,10 +69,10 @@ _OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2c00-\u2dff\u2e80-\u2fff\u3005-\u300
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 #: What the bytes 80 to 9f are read as, where they are read as Windows-1252.
 _HIGH = "\x80-\xbf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
-_UTF8_MISREAD = re.compile(f"(?:[\xcd-\xdf][{_HIGH}]|[\xe0-\xef][{_HIGH}]{{2}}|\xf0[{_HIGH}]{{3}}|[ ])*(?:[\xcd-\xdf][{_HIGH}]|[\xe0-\xef][{_HIGH}]{{2}}|\xf0[{_HIGH}]{{3}})")
-_CYRILLIC_MISREAD = re.compile("(?<![A-Za-z])[\xa8\xb8\xc0-\xff]{3,}(?![A-Za-z])")
+_UTF8_MISREAD = re.compile(f"[\xcd-\xf0][{_HIGH}]{{1,3}}(?:[\xcd-\xf0][{_HIGH}]{{1,3}})*")
+_CYRILLIC_MISREAD = re.compile("[\xa8\xb8\xc0-\xff]{3,}")
 _CYRILLIC_LETTERS = re.compile("[\xa8\xb8\xc0-\xff]+")
-#: Words that consist of accented letters only, from which on a text counts as Cyrillic read as Latin.
+#: Runs of accented letters, from which on a text counts as Cyrillic read as Latin.
 MISREAD_WORDS = 8
 
 
@@ -301,7 +302,9 @@ class Searcher:
         self.owner = np.repeat(np.arange(len(items)), [len(s) for s in starts])
         self.latent = np.concatenate([_latent(w, s, idf, self.space) for w, s in zip(items, starts, strict=True)]).astype(np.float32)
         self.foreign = float(np.median(idf)) ** 2
-        self.held = np.unique(np.concatenate([w.astype(np.int64) + i * (len(idf) + 1) for i, w in enumerate(items)]))
+        self.held = np.zeros((len(idf) + 1, -(-len(items) // 8)), np.uint8)  # a bit for each word and item; the last word is any other
+        for i, w in enumerate(items):
+            self.held[np.unique(w), i >> 3] |= np.uint8(1 << (i & 7))
 
     def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
         """``(item, block of words)`` with a passage near one of the item's."""
@@ -329,8 +332,8 @@ class Searcher:
             by_block.setdefault(block, []).append(item)
         for block, items in by_block.items():
             region = words[max(0, block * BLOCK - MARGIN) : block * BLOCK + BLOCK + WINDOW + MARGIN]
-            key = np.array(items)[:, None] * (len(self.idf) + 1) + np.where(region >= 0, region, len(self.idf))[None, :]
-            shared = self.held[np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)] == key
+            at = np.array(items)
+            shared = ((self.held[region][:, at >> 3] >> (at & 7).astype(np.uint8)) & 1).T
             enough = _bound(shared) >= MIN_SCORE
             pairs += [(i, region) for i, ok in zip(items, enough, strict=True) if ok]
         best: dict[int, float] = {}
