@@ -378,6 +378,33 @@ def test_cut_texts_held_out(spark):
     assert sum(n for n, _ in shares.values()) == 700 and sum(c for _, c in shares.values()) == len(got)
 
 
+def test_share_of_cut_values_is_estimated():
+    rng = np.random.default_rng(24)
+    bins = lambda v: {int(b): float(n) for b, n in zip(*np.unique(np.floor(v / cut_text.BIN), return_counts=True), strict=True)}
+    whole, broken = rng.normal(0, 1.5, 4000), rng.normal(-9, 2, 4000)
+    for share in (0.02, 0.1, 0.3):
+        n = int(share * 5000)
+        final = np.concatenate([rng.normal(-9, 2, n), rng.normal(0, 1.5, 5000 - n)])
+        assert abs(cut_text.estimated_share(bins(whole), bins(broken), bins(final)) - share) < 0.015
+        assert -7 < cut_text.choose_threshold(bins(whole), bins(broken), bins(final)) < -2
+
+
+def test_cut_values_of_two_columns(spark):
+    rng = np.random.default_rng(25)
+    nouns, verbs = ["kettle", "garden", "ladder", "mirror", "candle"], ["found", "carried", "painted", "borrowed"]
+    rows, cut = [], set()
+    for d in range(400):
+        text = _srt([f"She {rng.choice(verbs)} the {rng.choice(nouns)} again." for _ in range(int(rng.integers(8, 16)))])
+        note = "\n\n".join(f"{rng.choice(nouns)} / {rng.choice(verbs)} / ready" for _ in range(8))
+        if d % 10 == 0:
+            note = note[: -int(rng.integers(2, 12))]
+            cut.add(d)
+        rows.append((d, text, note, "en", "s"))
+    got = cut_text.cut_scores(spark.createDataFrame(rows, "id long, text string, note string, language string, source string"), ["text", "note"])
+    assert got.count() == 800 and got.where("is_cut and field = 'text'").count() <= 2
+    assert {r.id for r in got.where("is_cut and field = 'note'").collect()} == cut
+
+
 def test_cut_texts_of_little(spark):
     schema = "id long, text string, language string, source string"
     assert cut_text.cut_scores(spark.createDataFrame([], schema)).count() == 0
@@ -397,8 +424,8 @@ def test_contexts_are_counted_exactly_however_many(spark):
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     lines = ["".join(rng.choice(letters, 200)) for _ in range(4000)]  # 0.8 million different contexts of 18 bytes
     docs = [(i, "\n\n".join(lines[i * 10 : i * 10 + 10]), "s", "en") for i in range(400)]
-    df = spark.createDataFrame(docs, "id long, text string, source string, language string")
-    finals = df.mapInPandas(cut_text._finals, "row long, id long, source string, language string, raw binary, style int, kind int, alike binary, whole_kind int, hashes array<long>").cache()
+    df = spark.createDataFrame(docs, "id long, text string, source string, language string").withColumns({"column_no": F.lit(0), "field": F.lit("text")})
+    finals = df.mapInPandas(cut_text._finals, "row long, id long, source string, language string, field string, raw binary, style int, kind int, alike binary, whole_kind int, hashes array<long>").cache()
     needed = finals.select(F.posexplode("hashes").alias("at", "hash"))
     counts = {r.hash: (r.everything, r.plain) for r in cut_text.count_contexts(df, finals, needed, needed.count()).collect()}
     size, last = len(cut_text.CONTEXTS), cut_text.CONTEXTS.index(18)
