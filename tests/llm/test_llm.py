@@ -10,20 +10,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecgauge.llm import collision_knn, cut_text, leak_search, packing, quantile_sketch as qs, similarity_clusters as sc
-from vecgauge.llm.term_frequency import mark_terms, plan_partitions, term_frequency
+from vecgauge.llm.term_frequency import mark_terms, plan_prefixes, radix_partitions, split_plan, term_frequency
 from vecgauge.llm.vector_blocks import usable_vectors
 from vecgauge.sources.tables import normal_form
 
 # --- 1: terms
 
 
-@pytest.mark.parametrize("partition_rows", [3, 50, 10**6])
-def test_terms_against_brute_force(spark, partition_rows):
+@pytest.mark.parametrize("partition_bytes", [800, 20_000, None])
+def test_terms_against_brute_force(spark, partition_bytes):
     rng = np.random.default_rng(5)
     rows = [(int(rng.integers(0, 20)), t(2020, 1, int(rng.integers(1, 28))) if rng.random() > 0.1 else None, "HOT" if rng.random() < 0.4 else f" c{rng.integers(0, 30)}\t") for _ in range(600)]
     rows += [(None, None, "HOT"), (1, None, None), (1, None, " \t"), (2, t(2020, 1, 1), "x" * 5000)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "person_id long, time timestamp_ntz, code string, holder string, term int")
-    got = {r.term: (r.n_events, r.n_holders) for r in term_frequency(df, normal_form(F.col("code")), F.col("person_id"), [F.col("time")], partition_rows).collect()}
+    got = {r.term: (r.n_events, r.n_holders) for r in term_frequency(df, normal_form(F.col("code")), F.col("person_id"), [F.col("time")], partition_bytes).collect()}
     events = {(p, w, c.strip(" \t").upper()) for p, w, c in rows if p is not None and c and c.strip(" \t")}
     want = {c: (sum(e[2] == c for e in events), len({e[0] for e in events if e[2] == c})) for c in {e[2] for e in events}}
     assert got == want
@@ -36,9 +36,26 @@ def test_terms_of_nothing_and_marks(spark):
     assert [r.mark for r in mark_terms(counts, 100).orderBy("term").collect()] == ["rare", None, "common"]
 
 
-def test_partitions_split_until_they_fit():
-    first, splits, n = plan_partitions({0: 10, 1: 10, 4095: 1000}, 100)
-    assert splits[4095] == 10 and first[0] == first[1] and n >= 11
+def test_prefixes_share_or_split_partitions():
+    first, take, n = plan_prefixes({0: 10, 1: 10, 5: 95, 4000: 1000, 4095: 5}, 100)
+    assert first[0] == first[1] and first[5] != first[0] and take[4000] == 4 and first[4095] == first[4000] + 16 and n == first[4095] + 1
+    assert plan_prefixes({}, 100)[2] == 1
+    plan, n = split_plan([(3, 1000, True, 20), (4, 350, False, 16), (5, 500, False, 64)], 100, 40)
+    assert plan == [(3, 40, 0, 10), (4, 50, 2, 1), (5, 54, 0, 5)] and n == 59
+
+
+def test_ordinary_terms_are_never_split_by_holder(spark):
+    rows = [(i, f"c{i % 900}") for i in range(9000)] + [(i, "hot") for i in range(6000)]
+    slim = spark.createDataFrame(rows, "holder string, term string").withColumns({"e1": F.lit(1), "e2": F.lit(2), "h": F.xxhash64("term"), "size": F.lit(30).cast("long")})
+    placed, n, hot = radix_partitions(slim, 1500)
+    by_term = {r.term: (r.parts, r.split) for r in placed.groupBy("term").agg(F.count_distinct("part").alias("parts"), F.max("split").alias("split")).collect()}
+    assert hot and by_term.pop("hot") == (120, True) and set(by_term.values()) == {(1, False)} and len(by_term) == 900
+    assert placed.groupBy("part").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] <= 3000 and n < 600
+    # all hashes begin alike: the recursion goes as deep as it must
+    deep = slim.where("term != 'hot'").withColumn("h", F.shiftrightunsigned("h", 30))
+    placed, n, hot = radix_partitions(deep, 1500)
+    assert not hot and placed.groupBy("part").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] <= 3000
+    assert placed.groupBy("term").agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0] == 1
 
 
 # --- 2: nearest vectors
