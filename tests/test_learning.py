@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecgauge.operators import learning
+from vecgauge.operators import learning, replicates, scores
 from vecgauge.operators.simulate import simulate_spaces
 from vecgauge.streaming.extraction import extract_missing, stream_extraction
 
@@ -45,6 +45,81 @@ def test_probes_find_signal(space):
     assert max(x.r2_val for x in learning.ridge_decodability(rows.withColumn("z", F.col("vec")[0] * 2 + 1), "z").collect()) > 0.99
 
 
+def test_probe_never_sees_what_is_held_out(space):
+    rows = space.withColumn("y", (F.col("label") == 0).cast("int")).withColumn("label", F.col("label").cast("long"))
+    train = lambda r: {x.id: x.vec for x in learning.standardised_on_train(r).where("split = 'train'").collect()}
+    shifted = rows.withColumn("vec", F.when(F.col("split") == "train", F.col("vec")).otherwise(F.transform("vec", lambda x: x + 1000)))
+    assert train(rows) == train(shifted)
+    one_class = rows.withColumn("y", F.when(F.col("split") == "val", 1).otherwise(F.col("y")))
+    r = learning.logistic_probe(one_class).first()
+    assert r.c == 0.1 and r.auroc_val is None and r.auroc_test > 0.8
+
+
+def test_ridge_chooses_by_leaving_one_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 6))
+    y = x @ [1.0, -2, 0, 0, 0.5, 0] + rng.normal(size=120)
+    split = np.where(np.arange(120) < 80, "train", "val")
+    rows = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), str(split[i])) for i in range(120)] + [(999, [0.0] * 6, None, "train")], "id long, vec array<double>, z double, split string")
+    got = {r.alpha: r for r in learning.ridge_decodability(rows, "z").collect()}
+    xt, yt = x[:80], y[:80]
+    want = {}
+    for a in learning.ALPHAS:
+        errors = []
+        for i in range(80):
+            k = np.arange(80) != i
+            # the mean is that of all rows, as in the closed form
+            xc, yc = xt - xt.mean(0), yt - yt.mean()
+            h = 1 / 80 + xc[i] @ np.linalg.solve(xc.T @ xc + a * np.eye(6), xc[i])
+            fit = xc[i] @ np.linalg.solve(xc.T @ xc + a * np.eye(6), xc.T @ yc)
+            errors.append(((yc[i] - fit) / (1 - h)) ** 2)
+            assert k.sum() == 79
+        want[a] = np.mean(errors)
+        assert abs(got[a].loo_error - want[a]) < 1e-6
+    assert [a for a, r in got.items() if r.chosen] == [min(want, key=want.get)]
+    assert learning.ridge_decodability(rows.limit(20), "z").count() == 0
+
+
+def test_curves_of_planted_and_of_shapeless_tables(spark, space):
+    curves = replicates.strength_curves(space, [2, 3, 4], 4, 4).cache()
+    assert curves.count() == 3 * 4 * 5
+    table = {r.k: r for r in replicates.tendency(curves).collect()}
+    assert table[3].exceeds_null and table[3].real > 0.8 and table[3].margin > 0.5
+    v = replicates.gate_verdict(replicates.tendency(curves)).first()
+    assert (v.verdict, v.k_at_max_margin) == ("DISCRETE", 3) and "k = 3" in v.sentence
+    again = replicates.strength_curves(space.repartition(7), [2, 3, 4], 4, 4)
+    assert curves.exceptAll(again).count() == 0
+    rng = np.random.default_rng(8)
+    cloud = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "id long, vec array<double>")
+    flat = replicates.gate_verdict(replicates.tendency(replicates.strength_curves(cloud, [2, 3], 4, 12, seed=3))).first()
+    assert flat.max_margin < 0.3
+    s = {r.k: r.mean_ari for r in replicates.summarise_stability(replicates.stability_curve(space, [3, 5], 4)).collect()}
+    assert s[3] > 0.85 and s[3] > s[5]
+    assert replicates.gate_verdict(replicates.tendency(curves.where("k > 9"))).first().verdict is None
+    assert replicates.strength_curves(space.limit(0), [2], 2).count() == 0 and replicates.stability_curve(space.limit(0), [2], 2).count() == 0
+
+
+def test_large_tables_take_the_distributed_way(space, monkeypatch):
+    monkeypatch.setattr(replicates, "MATRIX_BYTES", 10)
+    assert replicates.broadcast_matrix(space) is None
+    curve = replicates.strength_curves(space, [3], 1, 1)
+    assert [r.draw for r in curve.orderBy("draw").collect()] == [-1, 0] and curve.where("draw < 0").first().strength > 0.8
+    assert replicates.stability_curve(space, [3], 1).first().ari > 0.85
+    assert replicates.fitted_labels(space, 3).select("cluster").distinct().count() == 3
+
+
+def test_counts_below_and_quantiles_need_no_single_order(spark):
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=3001) ** 3, 2)
+    rows = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double").repartition(5)
+    for q in (0, 0.1, 0.5, 0.95, 1):
+        assert abs(scores.exact_quantile(rows, "x", q) - np.quantile(v, q)) < 1e-12
+    assert scores.exact_quantile(rows.limit(0), "x", 0.5) is None
+    per = rows.where("x is not null").groupBy("x").agg(F.count("*").cast("double").alias("n"))
+    s = np.sort(v)
+    assert all(r.below == np.searchsorted(s, r.x) for r in scores.counts_below(per, "x", "n").collect())
+
+
 def test_bootstrap_interval_holds_the_estimate(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecgauge.functions.scalars import dot, l2_normalise, norm, squared_distance
+from vecgauge.operators.scores import exact_quantile
 
 
 def long_form(vectors: DataFrame) -> DataFrame:
@@ -28,9 +29,11 @@ def embedding_checks(vectors: DataFrame) -> DataFrame:
     basic = vectors.agg(
         F.count("*").alias("n"), F.max(F.size("vec")).cast("long").alias("n_dims"),
         bad(lambda x: F.isnan(x)).alias("n_nan_rows"), bad(lambda x: F.abs(x) == float("inf")).alias("n_inf_rows"),
-        (F.count("*") - F.count_distinct("vec")).alias("n_duplicates"),
-        F.min(length).alias("norm_min"), F.percentile(length, F.lit(0.5)).alias("norm_median"), F.max(length).alias("norm_max"),
+        F.min(length).alias("norm_min"), F.max(length).alias("norm_max"),
     )
+    copies = vectors.groupBy("vec").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+    median = exact_quantile(vectors.select(length.alias("norm")), "norm", 0.5)
+    basic = basic.join(F.broadcast(copies)).withColumn("norm_median", F.lit(median).cast("double"))
     dead = long_form(vectors).groupBy("dim").agg(F.stddev_pop("x").alias("s")).agg(F.count_if(F.col("s") < 1e-8).alias("n_dead_dims"))
     return basic.join(F.broadcast(dead)).join(F.broadcast(mean_cosine(vectors)))
 

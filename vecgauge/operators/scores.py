@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,56 @@ def eta_squared(rows: DataFrame, keys: list[str], level: str, y: str) -> DataFra
     return out.select(*keys, F.when(F.col("n") < 2, None).otherwise(F.coalesce(F.try_divide(F.col("b") - middle, F.col("q") - middle), F.lit(0.0))).alias("eta2"))
 
 
+RANGES = 256
+
+
+def ranges_of(rows: DataFrame, column: str, n: int = RANGES) -> Column:
+    """Number of the range of ``column`` that a row lies in, of about ``n`` equally filled ones."""
+    bounds = rows.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds = sorted({b for b in bounds if b is not None})
+    return F.size(F.filter(F.lit([float(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col(column)))
+
+
+def counts_below(rows: DataFrame, order: str, n: str) -> DataFrame:
+    """Adds ``below``, the sum of ``n`` over the rows of smaller ``order``; ``order`` has no ties.
+
+    The rows are cut into ranges that are summed by themselves, and the sums of
+    earlier ranges are carried forward, so no task orders all rows.
+    """
+    cut_up = rows.withColumn("range_no", ranges_of(rows, order))
+    carried = cut_up.groupBy("range_no").agg(F.sum(n).alias("in_range"))
+    carried = carried.select("range_no", F.coalesce(F.sum("in_range").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("carried"))
+    inside = Window.partitionBy("range_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut_up.withColumn("below", F.coalesce(F.sum(n).over(inside), F.lit(0.0))).join(F.broadcast(carried), "range_no")
+    return out.withColumn("below", F.col("below") + F.col("carried")).drop("range_no", "carried")
+
+
+def exact_quantile(rows: DataFrame, column: str, q: float) -> float | None:
+    """The ``q`` quantile, linear between neighbours, as one number; null without values.
+
+    Counts by range tell where it lies, and only that range is ordered.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    ranged = values.withColumn("range_no", ranges_of(values, "x"))
+    counts = {r.range_no: (r.n, r.top) for r in ranged.groupBy("range_no").agg(F.count("*").alias("n"), F.max("x").alias("top")).collect()}
+    total = sum(n for n, _ in counts.values())
+    if not total:
+        return None
+    place, before = q * (total - 1), 0
+    for i in sorted(counts):
+        n, _ = counts[i]
+        if place < before + n:
+            break
+        before += n
+    own = ranged.where(F.col("range_no") == i)
+    low, step = int(place) - before, place - int(place)
+    at = own.agg(F.percentile("x", F.lit(low / max(1, n - 1))).alias("a"), F.percentile("x", F.lit(min(1.0, (low + 1) / max(1, n - 1)))).alias("b")).first()
+    above = at.b
+    if low + 1 >= n and step:  # the upper neighbour lies in the next range
+        above = ranged.where(F.col("range_no") == min(j for j in counts if j > i)).agg(F.min("x")).first()[0]
+    return at.a + step * (above - at.a)
+
+
 def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     """Area under the ROC curve by midranks; null where a class is missing.
 
@@ -93,8 +143,12 @@ def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
     scores only.
     """
     per = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, score).agg(F.count("*").cast("double").alias("n_tied"), F.sum(F.col(y).cast("double")).alias("n_tied_pos"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("midrank", F.coalesce(F.sum("n_tied").over(below), F.lit(0.0)) + (F.col("n_tied") + 1) / 2)
+    if keys:
+        below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = per.withColumn("below", F.coalesce(F.sum("n_tied").over(below), F.lit(0.0)))
+    else:
+        ranked = counts_below(per, score, "n_tied")
+    ranked = ranked.withColumn("midrank", F.col("below") + (F.col("n_tied") + 1) / 2)
     out = ranked.groupBy(*keys).agg(F.sum(F.col("midrank") * F.col("n_tied_pos")).alias("rank_sum"), F.sum("n_tied_pos").alias("n_pos"), F.sum(F.col("n_tied") - F.col("n_tied_pos")).alias("n_neg"))
     return out.select(*keys, F.try_divide(F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 

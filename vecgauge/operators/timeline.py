@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecgauge.functions.scalars import years_between
+from vecgauge.session import cut
 from vecgauge.sources.tables import normal_form
 
 BIRTH = "MEDS_BIRTH"
@@ -95,6 +96,20 @@ def ordered_index(index: DataFrame) -> DataFrame:
     return index.orderBy(F.col("person_id").asc_nulls_first(), F.col("cutoff").asc_nulls_first())
 
 
+def numbered_index(index: DataFrame) -> DataFrame:
+    """``pos, person_id, cutoff``: places from 1 in that order; ``index`` has no repeated rows.
+
+    The rows are range-partitioned and numbered within each partition; only the
+    sizes of the partitions are ordered together.
+    """
+    order = [F.col("person_id").asc_nulls_first(), F.col("cutoff").asc_nulls_first()]
+    parts = cut(index.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within_part = parts.withColumn("here", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return within_part.join(F.broadcast(before), "part").select((F.col("before") + F.col("here")).alias("pos"), "person_id", "cutoff")
+
+
 def align_features(labels: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Every label with its feature row and ``matched``; duplicate feature keys fan out."""
     return labels.join(features.withColumn("matched", F.lit(True)), keys, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))

@@ -93,9 +93,7 @@ def restrict_dropped(spark, d):
 @query("select row_number() over (order by person_id nulls first, cutoff nulls first) as pos, person_id, cutoff from (select distinct person_id, cutoff from anchors)")
 def ordered_index(spark, d):
     """Positions by range-partitioned order: the count of earlier partitions plus the place within."""
-    index = tl.ordered_index(read_table(spark, d, "anchors").select("person_id", "cutoff").distinct())
-    numbered = index.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0], r[0][1]))
-    return spark.createDataFrame(numbered, "pos long, person_id long, cutoff timestamp_ntz")
+    return tl.numbered_index(read_table(spark, d, "anchors").select("person_id", "cutoff").distinct())
 
 
 @query("""select l.label_id, l.patient_id as person_id, l.prediction_time, a.n_anchors, a.n_anchors is not null as matched from labeled_patients l

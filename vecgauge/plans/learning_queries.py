@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgauge.operators import learning, simulate
+from vecgauge.operators import learning, replicates, simulate
 from vecgauge.plans.audit_queries import _vectors
 from vecgauge.sources.tables import read_table
 from vecgauge.streaming.extraction import history_vectors
@@ -29,19 +31,23 @@ def _probe_rows(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).withColumn("y", (F.col("label") < 5).cast("int")).withColumn("split", F.when(part < 3, "train").when(part == 3, "val").otherwise("test"))
 
 
+KS, REPEATS, DRAWS, RESAMPLES, BOOTSTRAPS = list(range(2, 11)), 20, 20, 25, 1000
+
+
 @query()
 def kmeans_sweep(spark, d):
-    return learning.prediction_strength_sweep(_vectors(spark, d), [2, 3], 1)
+    """Prediction strength for every k, with the frozen number of repeats."""
+    return replicates.summarise_curve(replicates.strength_curves(_vectors(spark, d), KS, REPEATS))
 
 
 @query()
 def stability(spark, d):
-    return learning.stability(_vectors(spark, d), 3, 2)
+    return replicates.summarise_stability(replicates.stability_curve(_vectors(spark, d), KS, RESAMPLES))
 
 
 @query()
 def null_gate(spark, d):
-    return learning.null_gate(_vectors(spark, d), [2], 2)
+    return replicates.tendency(replicates.strength_curves(_vectors(spark, d), KS, REPEATS, DRAWS))
 
 
 @query()
@@ -60,17 +66,17 @@ def logistic_probe(spark, d):
 
 
 _HASH = "(cast('0x' || md5({0})[1:8] as bigint) + 0.5) / 4294967296.0"
-_STEPS = " + ".join(f"(u >= {sum(__import__('math').exp(-1) / __import__('math').factorial(j) for j in range(i + 1))!r})::int" for i in range(8))
+_STEPS = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))!r})::int" for i in range(8))
 
 
-@query(f"""with r as (select unnest(range(20))::bigint as r), c as (select value as s, (event_type = 'purchase')::int as y, r, {_HASH.format("event_id || '-' || r")} as u from events, r),
+@query(f"""with r as (select unnest(range({BOOTSTRAPS}))::bigint as r), c as (select value as s, (event_type = 'purchase')::int as y, r, {_HASH.format("event_id || '-' || r")} as u from events, r),
     w as (select r, s, y, {_STEPS} as w from c), g as (select r, s, sum(w)::double as n, sum(w * y)::double as p from w where w > 0 group by all),
     k as (select *, coalesce(sum(n) over (partition by r order by s rows between unbounded preceding and 1 preceding), 0) + (n + 1) / 2 as mid from g),
     a as (select r, (sum(mid * p) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)) as auroc from k group by r)
     select round_even(quantile_cont(auroc, 0.025), 8) as low, round_even(quantile_cont(auroc, 0.975), 8) as high, count(*) as n_used from a""")
 def bootstrap_ci(spark, d):
     rows = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("s"), (F.col("event_type") == "purchase").cast("int").alias("y"))
-    return learning.bootstrap_auroc(rows, "s", "y", 20).select(F.bround("low", 8).alias("low"), F.bround("high", 8).alias("high"), "n_used")
+    return learning.bootstrap_auroc(rows, "s", "y", BOOTSTRAPS).select(F.bround("low", 8).alias("low"), F.bround("high", 8).alias("high"), "n_used")
 
 
 @query("""with s as (select cell_id, max(n_patients) as n, max(chosen_k) as k from measurements where chosen_k is not null group by cell_id), r as (select cell_id, k, unnest(range(n)) as id from s),
