@@ -249,8 +249,9 @@ def bootstrap_auroc(rows: DataFrame, score: str, y: str, resamples: int) -> Data
     Each row meets the resamples in a map task; equal scores are added up before
     the shuffle.
     """
-    copies = rows.select(score, y, "id", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    weight = poisson_weight(F.col("resample"), F.col("id"))
-    expanded = copies.withColumn("w", weight).where("w > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w"))))
-    per = auroc(expanded, ["resample"], score, y).where("auroc is not null")
+    # a row's work is that of all resamples, whatever few files the rows lie in
+    spread = rows.select(score, y, "id").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    copies = spread.select(score, y, "id", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    weighed = copies.withColumn("w", poisson_weight(F.col("resample"), F.col("id"))).where("w > 0")
+    per = auroc(weighed, ["resample"], score, y, "w").where("auroc is not null")
     return per.agg(F.percentile("auroc", F.lit(0.025)).alias("low"), F.percentile("auroc", F.lit(0.975)).alias("high"), F.count("*").alias("n_used"))

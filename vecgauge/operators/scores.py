@@ -136,13 +136,14 @@ def exact_quantile(rows: DataFrame, column: str, q: float) -> float | None:
     return at.a + step * (above - at.a)
 
 
-def auroc(rows: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
-    """Area under the ROC curve by midranks; null where a class is missing.
+def auroc(rows: DataFrame, keys: list[str], score: str, y: str, weight: str | None = None) -> DataFrame:
+    """Area under the ROC curve by midranks, of rows that count ``weight`` times; null where a class is missing.
 
     Equal scores are counted first, so the ordered pass runs over distinct
     scores only.
     """
-    per = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, score).agg(F.count("*").cast("double").alias("n_tied"), F.sum(F.col(y).cast("double")).alias("n_tied_pos"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    per = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, score).agg(F.sum(times).cast("double").alias("n_tied"), F.sum(F.col(y).cast("double") * times).alias("n_tied_pos"))
     if keys:
         below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
         ranked = per.withColumn("below", F.coalesce(F.sum("n_tied").over(below), F.lit(0.0)))
