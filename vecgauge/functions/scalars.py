@@ -54,3 +54,19 @@ def squared_distance(a: Column, b: Column) -> Column:
 def l2_normalise(a: Column) -> Column:
     length = F.greatest(norm(a), F.lit(1e-12))
     return F.transform(a, lambda x: x / length)
+
+
+def pool(hidden: Column, mask: Column, pooling: str) -> Column:
+    """One vector from the states ``hidden`` (an array of vectors) where ``mask`` is 1: the ``last`` of them or their ``mean``.
+
+    The mask holds ones, then zeros. Without any one, the last is the first
+    state and the mean is zero. Other poolings are refused.
+    """
+    length = F.greatest(F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int")), F.lit(1))
+    if pooling == "last":
+        return F.element_at(hidden, length)
+    if pooling != "mean":
+        raise ValueError(f"unknown pooling {pooling!r}")
+    zero = F.transform(F.element_at(hidden, F.lit(1)), lambda x: F.lit(0.0))
+    seen = F.filter(F.zip_with(hidden, mask, lambda h, m: F.when(m > 0, h)), lambda h: h.isNotNull())
+    return F.transform(F.aggregate(seen, zero, lambda s, h: F.zip_with(s, h, lambda x, y: x + y)), lambda x: x / length)

@@ -49,7 +49,7 @@ def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vec", l2_normalise(F.col("vec")))
 
 
-def standardised(vectors: DataFrame, fit: Column | None = None) -> DataFrame:
+def standardised(vectors: DataFrame, fit: Column | str | None = None) -> DataFrame:
     """Z-scores with the population deviation of the rows of ``fit`` (null: all); a constant dimension becomes 0."""
     long = long_form(vectors if fit is None else vectors.where(fit))
     stats = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
@@ -211,12 +211,3 @@ def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray) -> DataFrame
 
     return vectors.withColumn("vec", scores("vec"))
 
-
-def residualised(vectors: DataFrame, covariate: str) -> DataFrame:
-    """Each dimension without its linear part in one numeric covariate (missing values at the mean)."""
-    rows = vectors.withColumn("z", F.coalesce(F.nanvl(F.col(covariate).cast("double"), F.lit(None).cast("double")), F.lit(None).cast("double")))
-    centre = rows.agg(F.avg("z").alias("zm")).first()[0] or 0.0
-    filled = rows.withColumn("z", F.coalesce(F.col("z"), F.lit(centre)) - F.lit(centre))
-    fit = filled.select("id", "z", F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.coalesce(F.try_divide(F.sum(F.col("z") * F.col("x")), F.sum(F.col("z") * F.col("z"))), F.lit(0.0)).alias("b"))
-    table = fit.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "b"))).alias("fit"))
-    return filled.join(F.broadcast(table)).withColumn("vec", F.zip_with("vec", "fit", lambda x, f: x - f["m"] - f["b"] * F.col("z"))).drop("fit", "z")

@@ -15,7 +15,7 @@ from vecgauge.operators import geometry as geo
 SCALINGS = ("raw", "standard", "spherical")
 
 
-def prepare(vectors: DataFrame, scaling: str, fit: Column | None = None, n_components: int | None = None, n_drop: int = 1) -> DataFrame:
+def prepare(vectors: DataFrame, scaling: str, fit: Column | str | None = None, n_components: int | None = None, n_drop: int = 1) -> DataFrame:
     """``vec`` in one of the arms; statistics come from the rows of ``fit`` (null: all), and hold for all rows.
 
     ``raw`` leaves the vectors, ``standard`` takes z-scores with the population

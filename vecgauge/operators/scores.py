@@ -21,6 +21,11 @@ def code_coverage(events: DataFrame, known: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("vocabulary")).alias("vocabulary"), "n_events", "n_events_covered", "n_codes", "n_codes_covered")
 
 
+def known_base_codes(tokens: DataFrame) -> DataFrame:
+    """``code``: the codes that a vocabulary of ``token`` knows, whatever their value buckets; special tokens, which open with a bracket, are none."""
+    return tokens.where("token is not null and not startswith(token, '[')").select(F.split("token", r" \|\| ", 2)[0].alias("code")).distinct()
+
+
 def truncation_report(lengths: DataFrame) -> DataFrame:
     """Per row: tokens seen, whether cut, and the share covered (1 for an empty history)."""
     n, limit = F.col("n_tokens"), F.col("context_length")

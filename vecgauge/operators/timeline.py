@@ -85,6 +85,51 @@ def lastevent_index(summary: DataFrame) -> DataFrame:
     return summary.where("last_event is not null").select("person_id", F.col("last_event").alias("cutoff"))
 
 
+def build_index(anchor: str, events: DataFrame | None, labels: DataFrame | None = None, scout_tasks: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The index of one anchor level, and its anchors of persons without events.
+
+    ``lastevent``, ``perlabel-scout`` (the labels of a few tasks) or ``perlabel``;
+    every level needs the events. ``shared`` is refused, as no outcome window is
+    declared, and so is any other name.
+    """
+    if anchor == "shared":
+        raise ValueError("the shared level needs a declared outcome window")
+    if anchor not in ("lastevent", "perlabel-scout", "perlabel"):
+        raise ValueError(f"unknown anchor level {anchor!r}")
+    if events is None:
+        raise ValueError(f"the {anchor} level needs the events")
+    if anchor == "lastevent":
+        index = lastevent_index(timeline_summary(events))
+        return index, index.limit(0)
+    if labels is None:
+        raise ValueError(f"the {anchor} level needs the labels")
+    chosen = labels.where(F.col("task").isin(*scout_tasks)) if anchor == "perlabel-scout" else labels
+    return restrict_to_known(perlabel_index(chosen), events)
+
+
+def person_events(events: DataFrame, person_id: int) -> DataFrame:
+    """``pos, time, code, value`` of one person, undated events first; a NaN value is null.
+
+    Equal times are ordered by code and value. The person is a filter that reaches
+    the scan.
+    """
+    rows = events.where(F.col("person_id") == person_id).select("time", "code", F.nanvl("numeric_value", F.lit(None).cast("double")).alias("value"))
+    order = Window.orderBy(F.col("time").asc_nulls_first(), F.col("code").asc_nulls_first(), F.col("value").asc_nulls_first())
+    return rows.select(F.row_number().over(order).alias("pos"), "time", "code", "value")
+
+
+def model_events(events: DataFrame) -> DataFrame:
+    """``person_id, time, event`` with ``event`` the code and its value, null where it is missing or NaN; what an encoder reads."""
+    value = F.nanvl(F.col("numeric_value"), F.lit(None).cast("double")).alias("value")
+    return events.select("person_id", "time", F.struct("code", value).alias("event"))
+
+
+def index_batches(index: DataFrame, size: int) -> DataFrame:
+    """``batch, n_anchors, n_persons, first_pos``: runs of ``size`` anchors in the index's order, so that a person's lie together."""
+    numbered = numbered_index(index).withColumn("batch", F.floor((F.col("pos") - 1) / size))
+    return numbered.groupBy("batch").agg(F.count("*").alias("n_anchors"), F.count_distinct("person_id").alias("n_persons"), F.min("pos").alias("first_pos"))
+
+
 def restrict_to_known(index: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Anchors of persons with events, and those of unknown persons."""
     known = events.select("person_id").distinct()

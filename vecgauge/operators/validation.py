@@ -89,3 +89,25 @@ def condition_table(measurements: DataFrame, keys: Sequence[str], means: Sequenc
     return measurements.groupBy(*keys).agg(
         F.count("*").alias("n_cells"), scores.unanimous("verdict").alias("verdict"), F.min("chosen_k").alias("least_k"), F.max("chosen_k").alias("greatest_k"), *[mean(c) for c in means],
     )
+
+
+def completion(index: DataFrame, measured: DataFrame, keys: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """Per group, whether every key of the index is measured: ``n_expected, n_found, n_missing, verdict``; null equals null.
+
+    Repeated keys and measurements count once. A group of which nothing is
+    measured is not known here.
+    """
+    expected = index.select(*keys).distinct()
+    n = expected.agg(F.count("*").alias("n_expected"))
+    found = measured.select(*groups, *keys).distinct()
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
+    met = found.alias("m").join(expected.withColumn("there", F.lit(1)).alias("i"), same, "left")
+    out = met.groupBy(*[F.col(f"m.{g}").alias(g) for g in groups]).agg(F.count("there").alias("n_found")).join(F.broadcast(n))
+    return out.withColumn("n_missing", F.col("n_expected") - F.col("n_found")).withColumn("verdict", passed(F.col("n_missing") == 0))
+
+
+def throughput(lengths: DataFrame) -> DataFrame:
+    """Per model and context length: measurements, days on which any was made, and measurements and tokens a day."""
+    seen = F.least("n_tokens", "context_length")
+    out = lengths.where("n_tokens >= 0").groupBy("model_name", "context_length").agg(F.count("*").alias("n"), F.count_distinct("run_day").alias("n_days"), F.sum(seen).alias("n_seen"))
+    return out.select("model_name", "context_length", "n", "n_days", F.bround(F.try_divide("n", "n_days"), 4).alias("per_day"), F.bround(F.try_divide("n_seen", "n_days"), 2).alias("tokens_per_day"))

@@ -374,26 +374,7 @@ def pca_explained_variance(spark, d):
     return spark.createDataFrame([(i, float(r)) for i, r in enumerate(ratio)], "pc long, explained double")
 
 
-@query()
-def pcr_per_covariate(spark, d):
-    """R2 of the event count in each principal component, weighted by explained variance."""
-    v = _vectors(spark, d)
-    mean, axes, ratio = geo.principal_axes(v)
-    per = read_table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
-    scored = geo.project(v, mean, axes[:, :20]).join(per, "id", "left").withColumn("log_n_events", F.log(1 + F.coalesce("n", F.lit(0))))
-    return scores.numeric_r2(scored.select("log_n_events", F.posexplode("vec").alias("pc", "x")), ["pc"], "log_n_events", "x").withColumn("weighted", F.col("r2") * F.element_at(F.lit(ratio.tolist()), F.col("pc") + 1))
-
-
 @query()
 def rankme(spark, d):
     v = _vectors(spark, d)
     return v.agg(F.count("*").alias("n")).withColumn("rankme", F.lit(geo.rankme(v)))
-
-
-@query()
-def residualised_r2(spark, d):
-    """After the linear part of the event count is taken out, no dimension has any of it left."""
-    per = read_table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.log(1 + F.count("*")).alias("z0"))
-    rows = _vectors(spark, d).join(per, "id", "left").withColumn("c", F.coalesce("z0", F.lit(0.0)))
-    rest = geo.residualised(rows.select("id", "label", "vec", "c"), "c")
-    return scores.numeric_r2(rest.select("c", F.posexplode("vec").alias("dim", "x")), ["dim"], "c", "x").select("dim", F.bround("r2", 6).alias("r2"))

@@ -35,6 +35,17 @@ def write_record(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    """Records of runs, as written by :func:`write_record`."""
+    return spark.read.json(path)
+
+
+def parquet_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table, from its footers alone."""
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return spark.read.parquet(path).count()
+
+
 def write_markdown(df: DataFrame, path: str, caption: str, label: str, most_rows: int = 1000) -> None:
     """A result table as Markdown, for reading; one of more than ``most_rows`` rows is refused."""
     rows = df.limit(most_rows + 1).collect()
