@@ -1,12 +1,14 @@
 """Clustering strength, probes, simulation and extraction on planted structure."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecgauge.operators import learning, replicates, scores
 from vecgauge.operators.simulate import simulate_spaces
-from vecgauge.streaming.extraction import extract_missing, stream_extraction
+from vecgauge.streaming.extraction import extract_missing, history_vectors, stream_extraction
 
 SPEC = "cell_id string, n_rows long, n_clusters long, separation double, noise double"
 
@@ -130,16 +132,23 @@ def test_bootstrap_interval_holds_the_estimate(spark):
 
 
 def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
-    events = spark.createDataFrame([(p, c) for p in range(6) for c in "abc"] + [(None, "a"), (1, None), (1, " ")], "person_id long, code string")
+    at = F.expr("timestamp_ntz '2020-01-01 00:00:00' + make_interval(0, 0, 0, day)")
+    events = spark.createDataFrame([(p, c, d) for p in range(6) for d, c in enumerate("abc")] + [(None, "a", 0), (1, None, 0), (1, " ", 0), (5, "u", None)], "person_id long, code string, day int").withColumn("time", at)
+    wanted = spark.createDataFrame([(p, d) for p in range(7) for d in (0, 1, None)] + [(1, 0), (None, 1), (0, -9), (5, -9)], "person_id long, day int").withColumn("cutoff", at).select("person_id", "cutoff")
     path = str(tmp_path / "vectors")
-    some = events.where("person_id < 3").select("person_id")
-    extract_missing(events, some, path)
+    extract_missing(events, wanted.where("person_id < 3 and cutoff is not null"), path)
     before = {tuple(r) for r in spark.read.parquet(path).collect()}
     source = str(tmp_path / "anchors")
-    events.select("person_id").write.parquet(source)
-    stream = spark.readStream.schema("person_id long").parquet(source)
+    wanted.write.parquet(source)
+    stream = spark.readStream.schema("person_id long, cutoff timestamp_ntz").parquet(source)
     for _ in range(2):
         stream_extraction(events, stream, path, str(tmp_path / "checkpoint")).awaitTermination()
     after = spark.read.parquet(path)
-    assert before < {tuple(r) for r in after.collect()} and after.groupBy("person_id", "bucket").count().where("count > 1").count() == 0
-    assert after.select("person_id").distinct().count() == 6
+    assert before < {tuple(r) for r in after.collect()} and after.groupBy("person_id", "cutoff", "bucket").count().where("count > 1").count() == 0
+    day = lambda r: None if r.cutoff is None else (r.cutoff - datetime(2020, 1, 1)).days
+    got = {}
+    for r in after.collect():
+        got.setdefault((r.person_id, day(r)), []).append(r.weight)
+    assert set(got) == {(p, d) for p in range(6) for d in (0, 1, None)} | {(5, -9)}
+    assert all(abs(sum(w) - 1) < 1e-9 for w in got.values()) and max(got[(0, 0)]) == 1.0 and len(got[(0, 0)]) == 1
+    assert history_vectors(events.limit(0), wanted).count() == 0 and history_vectors(events, wanted.limit(0)).count() == 0

@@ -96,7 +96,9 @@ def simulate_space(spark, d):
     return simulated(spark, d)
 
 
-@query("""with e as (select person_id, upper(trim(code, ' ' || chr(9))) as code from patient_timeline where person_id is not null), c as (select person_id, cast('0x' || md5(code)[1:8] as bigint) % 32 as bucket, count(*) as n
-    from e where code is not null and code <> '' group by all) select person_id, cast(bucket as int) as bucket, n / sum(n) over (partition by person_id) as weight from c""")
+@query("""with e as (select person_id, time, cast('0x' || md5(upper(trim(code, ' ' || chr(9))))[1:8] as bigint) % 32 as bucket from patient_timeline where person_id is not null and code is not null and upper(trim(code, ' ' || chr(9))) <> ''),
+    a as (select distinct person_id, cutoff from anchors), c as (select a.person_id, a.cutoff, bucket, count(*) as n from a join e on a.person_id = e.person_id and (a.cutoff is null or e.time is null or e.time <= a.cutoff) group by all)
+    select person_id, cutoff, cast(bucket as int) as bucket, n / sum(n) over (partition by person_id, cutoff) as weight from c""")
 def history_mean_pool(spark, d):
-    return history_vectors(read_table(spark, d, "patient_timeline"))
+    """One vector for each anchor, of what lies at or before its cutoff."""
+    return history_vectors(read_table(spark, d, "patient_timeline"), read_table(spark, d, "anchors"))

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "vecgauge", **extra: str) ->
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | extra
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in conf.items():
@@ -34,9 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     made; a cluster must name one.
     """
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = context.getCheckpointDir()
+    if current:
+        return current
     named = context.getConf().get("spark.checkpoint.dir", "")
     if not named:
         if not context.master.startswith("local["):
@@ -47,6 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Materialise ``df`` in the shared folder and drop its lineage."""
+    """Materialise ``df`` in the shared folder and drop its lineage.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go once the
+    frame is no longer referred to; local sessions set it, a cluster should.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
