@@ -104,6 +104,17 @@ def test_nearest_by_collisions_within_and_across_blocks(spark):
         assert len(found) == 40_000 and len(want & found) >= 0.9 * len(want) and len(close - found) <= 0.001 * len(close)
 
 
+def test_exact_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(26)
+    x = rng.normal(size=(300, 8))
+    df = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    got = collision_knn.exact_nearest(df.where("id % 10 = 0"), df, 4, 90).toPandas().sort_values(["id", "place"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert got.groupby("id").neighbour.apply(list).to_dict() == {i: np.argsort(-s[i])[:4].tolist() for i in range(0, 300, 10)}
+
+
 def test_far_blocks_never_meet(spark):
     rng = np.random.default_rng(20)
     truth = np.arange(3000) % 12
@@ -242,6 +253,13 @@ def test_packing_is_valid_and_tight(spark, shard_rows):
     assert used.max() <= 2048 and len(used) <= 1.06 * sizes.sum() / 2048 + 8
 
 
+def test_packing_of_repeated_and_null_items(spark):
+    rows = [(1, 5000)] * 3 + [(None, 5000)] * 2 + [(2, 700)] * 40 + [(None, 700), (3, 2048), (3, 2048)]
+    got = packing.pack(spark.createDataFrame(rows, "item long, size long")).toPandas()
+    assert got.n.sum() == sum(s for _, s in rows) and got.groupby("container_id").n.sum().max() <= 2048
+    assert (got[got.n == 2048].groupby("container_id").size() == 1).all() and (got.n == 2048).sum() == 12
+
+
 def test_packing_of_nothing_and_counts(spark):
     assert packing.pack(spark.createDataFrame([], "item long, size long")).count() == 0
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "hello world", 1), (4, "a " * 30000, 1)], "doc_id long, text string, item int")

@@ -341,3 +341,30 @@ def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> D
     best = found.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "neighbour"))), 1, k).alias("best"))
     placed = best.select("grp", "id", F.posexplode("best").alias("place", "b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"), (F.col("place") + 1).alias("place"))
     return placed if answers is None else placed.unionByName(answers)
+
+
+def _exact(k: int):
+    def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"grp": [], "id": [], "neighbour": [], "cosine": []})
+        ids, block = held["id"].to_numpy(), SortedProjections(unit_matrix(held["vec"]))
+        every = np.arange(len(ids))
+        found = [block.best(q, i, ids, every, k, -2.0) for q, i in zip(unit_matrix(asked["vec"]), asked["id"].to_numpy(), strict=True)]
+        at = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
+        return pd.DataFrame({"grp": key[0], "id": asked["id"].to_numpy()[at], "neighbour": ids[np.concatenate([o for o, _ in found])], "cosine": np.concatenate([c for _, c in found])})
+
+    return run
+
+
+def exact_nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> DataFrame:
+    """``grp, id, neighbour, cosine, place``: the same by comparison with every vector of the group, for a stated set of queries.
+
+    The vectors are read in blocks, which each query meets; ``queries`` has the
+    same columns and should be a small share of them.
+    """
+    sizes = vectors.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    held = vectors.join(sizes, "grp").select(F.col("grp").alias("hg"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("hb"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    asked = queries.join(sizes, "grp").select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    found = asked.groupBy("g", "b").cogroup(held.groupBy("hg", "hb")).applyInPandas(_exact(k), "grp string, id long, neighbour long, cosine double")
+    best = found.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "neighbour"))), 1, k).alias("best"))
+    return best.select("grp", "id", F.posexplode("best").alias("place", "b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"), (F.col("place") + 1).alias("place"))

@@ -13,11 +13,13 @@ Only the histogram of sizes, no longer than the capacity, reaches the driver.
 from __future__ import annotations
 
 import bisect
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +36,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``item, size``: length of each text in tokens; null texts have none. ``tokenizer``: a file of ranks."""
+    """``item, size``: length of each text in tokens; null texts have none. ``tokenizer``: a file of ranks, which is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -191,33 +195,34 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, large_share: float = LARGE_
     Only an item above the capacity has more than one piece. No container holds
     more than the capacity. Items of size 0 are placed like small ones; null and
     negative sizes are left out; an empty table gives no rows; repeated items
-    are packed repeatedly. Small items meet the open containers in shards of
+    are packed repeatedly, and null ones are items like others. Small items meet the open containers in shards of
     bounded size, so at most one container a shard stays open.
     """
-    kept = cut(sizes.where("size >= 0").select(F.col("item").cast("long").alias("item"), F.col("size").cast("long").alias("size")))
-    pieces = kept.select("item", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece"))
-    pieces = pieces.select("item", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("long").alias("n"))
+    kept = cut(sizes.where("size >= 0").select(F.col("item").cast("long").alias("item"), F.col("size").cast("long").alias("size")).withColumn("no", F.monotonically_increasing_id()))
+    # rows are told apart by their number, as items may be repeated or null; items travel as text, so that a null turns none into a float
+    pieces = kept.select("no", F.col("item").cast("string").alias("item"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece"))
+    pieces = pieces.select("no", "item", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("long").alias("n"))
     bound = int(capacity * large_share)
     histogram = {int(r.n): r.c for r in pieces.groupBy("n").agg(F.count("*").alias("c")).collect()}
     grouped = linear_groups({s: c for s, c in histogram.items() if bound < s < capacity}, groups)
     tops = [s for s, _ in grouped]
     plan = configurations(tops, [c for _, c in grouped], capacity)
 
-    full = pieces.where(F.col("n") == capacity).select("item", "piece", "n", F.format_string("full-%d-%d", "item", "piece").alias("container_id"))
+    full = pieces.where(F.col("n") == capacity).select("item", "piece", "n", F.format_string("full-%d-%d", "no", "piece").alias("container_id"))
     large = pieces.where((F.col("n") > bound) & (F.col("n") < capacity))
     grp = F.lit(0)
     for i, top in enumerate(tops):
         grp = F.when(F.col("n") <= top, i).otherwise(grp)
     chunks = max(1, sum(histogram.values()) // shard_rows)
-    large = large.withColumn("grp", grp).withColumn("chunk", F.pmod(F.xxhash64("item", "piece"), F.lit(chunks)).cast("int"))
+    large = large.withColumn("grp", grp).withColumn("chunk", F.pmod(F.xxhash64("no", "piece"), F.lit(chunks)).cast("int"))
     before = Window.partitionBy("grp").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = large.groupBy("grp", "chunk").agg(F.count("*").alias("c")).select("grp", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("grp", "chunk").orderBy("n", "item", "piece")
+    inside = Window.partitionBy("grp", "chunk").orderBy("n", "no", "piece")
     ranked = large.withColumn("at", F.row_number().over(inside) - 1).join(offsets, ["grp", "chunk"]).select("item", "piece", "n", "grp", (F.col("at") + F.col("offset")).alias("rank"))
-    placed = ranked.mapInPandas(_place(Places(plan, len(tops))), "item long, piece int, n long, container long").select("item", "piece", "n", F.format_string("large-%d", "container").alias("container_id"))
+    placed = ranked.mapInPandas(_place(Places(plan, len(tops))), "item string, piece int, n long, container long").select("item", "piece", "n", F.format_string("large-%d", "container").alias("container_id"))
 
     shards = max(1, -(-max(sum(n for _, n in plan), sum(c for s, c in histogram.items() if s <= bound)) // shard_rows))
     room = placed.groupBy("container_id").agg((capacity - F.sum("n")).alias("free")).where("free > 0").withColumn("shard", F.pmod(F.xxhash64("container_id"), F.lit(shards)).cast("int"))
-    small = pieces.where(F.col("n") <= bound).withColumn("shard", F.pmod(F.xxhash64("item", "piece"), F.lit(shards)).cast("int"))
-    fitted = room.groupBy("shard").cogroup(small.groupBy("shard")).applyInPandas(_best_fit(capacity), "item long, piece int, n long, container_id string")
-    return full.unionByName(placed).unionByName(fitted).select("item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n", "container_id")
+    small = pieces.where(F.col("n") <= bound).withColumn("shard", F.pmod(F.xxhash64("no", "piece"), F.lit(shards)).cast("int"))
+    fitted = room.groupBy("shard").cogroup(small.groupBy("shard")).applyInPandas(_best_fit(capacity), "item string, piece int, n long, container_id string")
+    return full.unionByName(placed).unionByName(fitted).select(F.col("item").cast("long").alias("item"), "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n", "container_id")
