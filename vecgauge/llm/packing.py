@@ -199,8 +199,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, large_share: float = LARGE_
     bounded size, so at most one container a shard stays open.
     """
     kept = cut(sizes.where("size >= 0").select(F.col("item").cast("long").alias("item"), F.col("size").cast("long").alias("size")).withColumn("no", F.monotonically_increasing_id()))
-    # rows are told apart by their number, as items may be repeated or null; items travel as text, so that a null turns none into a float
-    pieces = kept.select("no", F.col("item").cast("string").alias("item"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece"))
+    # rows are told apart by their number, as items may be repeated or null; items travel as text, a null as an empty one, so that none turns into a float
+    pieces = kept.select("no", F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece"))
     pieces = pieces.select("no", "item", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("long").alias("n"))
     bound = int(capacity * large_share)
     histogram = {int(r.n): r.c for r in pieces.groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -225,4 +225,4 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, large_share: float = LARGE_
     room = placed.groupBy("container_id").agg((capacity - F.sum("n")).alias("free")).where("free > 0").withColumn("shard", F.pmod(F.xxhash64("container_id"), F.lit(shards)).cast("int"))
     small = pieces.where(F.col("n") <= bound).withColumn("shard", F.pmod(F.xxhash64("no", "piece"), F.lit(shards)).cast("int"))
     fitted = room.groupBy("shard").cogroup(small.groupBy("shard")).applyInPandas(_best_fit(capacity), "item string, piece int, n long, container_id string")
-    return full.unionByName(placed).unionByName(fitted).select(F.col("item").cast("long").alias("item"), "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n", "container_id")
+    return full.unionByName(placed).unionByName(fitted).select(F.when(F.col("item") != "", F.col("item").cast("long")).alias("item"), "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n", "container_id")
