@@ -472,3 +472,14 @@ def test_contexts_are_counted_exactly_however_many(spark):
         want = len(re.findall(f"(?={tail})", text)) + sum(d[1].endswith(tail) for d in docs)
         assert counts[r.hashes[0]][0] == want
     finals.unpersist()
+
+
+def test_tasks_without_anything_to_do_return_typed_nothing(spark):
+    left = spark.createDataFrame([("a", 1, [1.0, 0.0])], "grp string, id long, vec array<double>")
+    for kernel, schema in (
+        (sc._assign(5), "grp string, id long, cluster int, distance double, place int"),
+        (collision_knn._search_other(3), "grp string, id long, neighbour long, cosine double"),
+        (collision_knn._exact(3), "grp string, id long, neighbour long, cosine double"),
+    ):
+        right = spark.createDataFrame([("b", 1, [1.0, 0.0])], "g string, id long, vec array<double>")
+        assert left.groupBy("grp").cogroup(right.groupBy("g")).applyInPandas(kernel, schema).count() == 0

@@ -199,7 +199,7 @@ def _pivots(key, part: pd.DataFrame) -> pd.DataFrame:
 def _assign(key, part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """The nearest pivot of each vector, with the angle to it."""
     if not len(part):
-        return pd.DataFrame({"grp": [], "id": [], "vec": [], "cell": [], "angle": []})
+        return pd.DataFrame(columns=["grp", "id", "vec", "cell", "angle"], dtype=object)
     x, pivots = unit_matrix(part["vec"]), pivots.sort_values("pivot")
     cell, cosine = np.zeros(len(x), int), np.empty(len(x))
     centre = unit_matrix(pivots["vec"])
@@ -239,7 +239,7 @@ def near_blocks(vectors: DataFrame, block_rows: int) -> tuple[DataFrame, DataFra
 def _search_own(k: int):
     def run(key, part: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
-            return pd.DataFrame({c: [] for c in ("grp", "block", "id", "vec", "near", "cosines", "bound", "visits")})
+            return pd.DataFrame(columns=["grp", "block", "id", "vec", "near", "cosines", "bound", "visits"], dtype=object)
         x, ids = unit_matrix(part["vec"]), part["id"].to_numpy()
         found = SortedProjections(x).nearest(x, ids, ids, k)
         bound = np.array([c[-1] if len(c) == k else -2.0 for _, c in found])
@@ -257,7 +257,7 @@ def _search_own(k: int):
 def _search_other(k: int):
     def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"grp": [], "id": [], "neighbour": [], "cosine": []})
+            return pd.DataFrame(columns=["grp", "id", "neighbour", "cosine"], dtype=object)
         ids, query_ids = held["id"].to_numpy(), asked["id"].to_numpy()
         found = SortedProjections(unit_matrix(held["vec"])).nearest(unit_matrix(asked["vec"]), query_ids, ids, k, asked["bound"].to_numpy())
         at = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
@@ -346,7 +346,7 @@ def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> D
 def _exact(k: int):
     def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"grp": [], "id": [], "neighbour": [], "cosine": []})
+            return pd.DataFrame(columns=["grp", "id", "neighbour", "cosine"], dtype=object)
         ids, block = held["id"].to_numpy(), SortedProjections(unit_matrix(held["vec"]))
         every = np.arange(len(ids))
         found = [block.best(q, i, ids, every, k, -2.0) for q, i in zip(unit_matrix(asked["vec"]), asked["id"].to_numpy(), strict=True)]

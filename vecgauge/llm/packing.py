@@ -157,13 +157,15 @@ class Places:
 def _place(places: Places):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"item": f["item"], "piece": f["piece"], "n": f["n"], "container": places.container(f["grp"].to_numpy(), f["rank"].to_numpy())})
+            yield pd.DataFrame({"item": f["item"].to_numpy(object), "piece": f["piece"], "n": f["n"], "container": places.container(f["grp"].to_numpy(), f["rank"].to_numpy())})
 
     return run
 
 
 def _best_fit(capacity: int):
     def run(key, room: pd.DataFrame, small: pd.DataFrame) -> pd.DataFrame:
+        if not len(small):
+            return pd.DataFrame({"item": np.empty(0, object), "piece": np.empty(0, np.int32), "n": np.empty(0, np.int64), "container_id": np.empty(0, object)})
         free: dict[int, list[str]] = {}
         for name, r in zip(room["container_id"], room["free"], strict=True):
             free.setdefault(int(r), []).append(name)

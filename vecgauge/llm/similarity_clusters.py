@@ -250,7 +250,7 @@ def _centroids(key, part: pd.DataFrame) -> pd.DataFrame:
 def _assign(typical: int):
     def run(key, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(model):
-            return pd.DataFrame({"grp": [], "id": [], "cluster": [], "distance": [], "place": []})
+            return pd.DataFrame(columns=["grp", "id", "cluster", "distance", "place"], dtype=object)
         x, c = unit_matrix(part["vec"]), np.stack(model["centroid"].to_numpy())
         d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]))
         at = d.argmin(1)
