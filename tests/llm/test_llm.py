@@ -446,6 +446,10 @@ def test_cut_texts_of_little(spark):
     assert [r.is_cut for r in cut_text.cut_scores(spark.createDataFrame([(1, "one block only", None, None), (2, "x" * 2_000_000 + "\n\nend.", "en", "s")], schema)).collect()].count(True) <= 1
 
 
+def test_text_that_ends_within_a_character():
+    assert cut_text._half("1\n00:01 --> 00:02\nwieder gef\ufffd \n") and not cut_text._half("gef\ufffdhl wieder gef\ufffd") and not cut_text._half("done.") and not cut_text._half("\ufffd a")
+
+
 def test_bare_number_lines_count_as_one_tail():
     from vecgauge.llm.cut_text import _alike, _encode
 
@@ -460,7 +464,7 @@ def test_contexts_are_counted_exactly_however_many(spark):
     lines = ["".join(rng.choice(letters, 200)) for _ in range(4000)]  # 0.8 million different contexts of 18 bytes
     docs = [(i, "\n\n".join(lines[i * 10 : i * 10 + 10]), "s", "en") for i in range(400)]
     df = spark.createDataFrame(docs, "id long, text string, source string, language string").withColumns({"column_no": F.lit(0), "field": F.lit("text")})
-    finals = df.mapInPandas(cut_text._finals, "row long, id long, source string, language string, field string, raw binary, style int, kind int, alike binary, whole_kind int, hashes array<long>").cache()
+    finals = df.mapInPandas(cut_text._finals, "row long, id long, source string, language string, field string, half boolean, raw binary, style int, kind int, alike binary, whole_kind int, hashes array<long>").cache()
     needed = finals.select(F.posexplode("hashes").alias("at", "hash"))
     counts = {r.hash: (r.everything, r.plain) for r in cut_text.count_contexts(df, finals, needed, needed.count()).collect()}
     size, last = len(cut_text.CONTEXTS), cut_text.CONTEXTS.index(18)
