@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from vecgauge.functions import scalars as fn
+from vecgauge.operators import confounds
 from vecgauge.operators import geometry as geo
 from vecgauge.operators import scores
 from vecgauge.operators import timeline as tl
@@ -116,7 +117,7 @@ def test_residual_has_nothing_left(spark):
     rng = np.random.default_rng(3)
     z = rng.normal(size=200)
     df = spark.createDataFrame([(i, 0, [float(2 * a + 1), float(-a)], float(a) if i % 9 else None) for i, a in enumerate(z)], "id long, label long, vec array<double>, z double")
-    rest = geo.residualised(df.where("z is not null"), "z")
+    rest = confounds.residualised(df.where("z is not null").drop("z"), df.select("id", "z"))
     assert np.allclose(np.stack([r.vec for r in rest.collect()]), 0, atol=1e-9)
 
 
