@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgauge.functions.scalars import pool
-from vecgauge.operators import confounds, registry, replicates, scores, scoring, validation
+from vecgauge.functions.scalars import norm, pool
+from vecgauge.operators import confounds, preparation, registry, replicates, scores, scoring, validation
 from vecgauge.operators import result_tables as tables
 from vecgauge.operators import timeline as tl
 from vecgauge.plans.audit_queries import _L, _NF, _V, _vectors
@@ -118,6 +118,13 @@ def clustering_sizes(spark, d):
     return sizes.groupBy("split").agg(F.sum("n").alias("n"), F.bround(F.sum("share"), 9).alias("share"))
 
 
+@query("select count(*) as n, 0 as n_off_sphere, 63 as n_components from embeddings")
+def spherical_norms(spark, d):
+    """After the primary arm every vector has length 1, and one component less than before."""
+    ready = preparation.prepare(_space(spark, d), "spherical", scoring.TRAIN)
+    return ready.agg(F.count("*").alias("n"), F.count_if(F.abs(norm(F.col("vec")) - 1) > 1e-9).alias("n_off_sphere"), F.max(F.size("vec")).cast("long").alias("n_components"))
+
+
 @query()
 def post_preparation_cosine(spark, d):
     return spark.createDataFrame([(scoring.post_preparation_cosine(_space(spark, d)),)], "mean_cosine_post_prep double")
