@@ -98,7 +98,9 @@ def ranges_of(rows: DataFrame, column: str, n: int = RANGES) -> Column:
     """Number of the range of ``column`` that a row lies in, of about ``n`` equally filled ones."""
     bounds = rows.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000)).first()[0] or []
     bounds = sorted({b for b in bounds if b is not None})
-    return F.size(F.filter(F.lit([float(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col(column)))
+    edges = F.lit([float(b) for b in bounds]).cast("array<double>")
+    # the value is bound once, however dear the expression behind the column is
+    return F.transform(F.array(column), lambda x: F.size(F.filter(edges, lambda b: b < x)))[0]
 
 
 def counts_below(rows: DataFrame, order: str, n: str) -> DataFrame:
