@@ -458,6 +458,23 @@ def test_bare_number_lines_count_as_one_tail():
     assert _alike(_encode("7\nRoom 12")[0]) != _alike(_encode("17\nRoom 12")[0])
 
 
+def test_positions_of_long_blocks_are_counted_once(monkeypatch):
+    monkeypatch.setattr(cut_text, "FINAL_BYTES", 40)
+    texts = ["First words. " + "Then they spoke on and on. " * 30 + "\n\nLast block, not ended", "one block only", "Whole.\n\n..."]
+    counter = cut_text.Counter(20, b"")
+    counter.passing = lambda h: h
+
+    def counted(chunk_bytes):
+        monkeypatch.setattr(cut_text, "CHUNK_BYTES", chunk_bytes)
+        portions = list(cut_text._chunks((t, 0) for t in texts))
+        frames = [counter.counts([x[:2] for x in p], np.array([x[2] for x in p]), lead=np.array([x[3] for x in p])) for p in portions]
+        assert max(len(x[0]) for p in portions for x in p) <= chunk_bytes + 40
+        return pd.concat(frames).groupby(["hash", "kind"])["n"].sum().to_dict()
+
+    whole = counted(1_000_000)
+    assert counted(150) == whole and sum(n for (_, kind), n in whole.items() if not kind) == len(cut_text.CONTEXTS) * (12 + 30 * 27 + 7 + 1)
+
+
 def test_contexts_are_counted_exactly_however_many(spark):
     rng = np.random.default_rng(12)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
