@@ -3,6 +3,7 @@
 import math
 import re
 from datetime import datetime as t
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -133,6 +134,34 @@ def test_far_blocks_never_meet(spark):
     assert len(want & set(zip(got.id, got.neighbour, strict=True))) >= 0.99 * len(want)
 
 
+def test_meeting_blocks_cost_no_disk_and_a_floor_loses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(2400, 16))  # without structure: every block meets every other
+    x[1200:1500] = x[:300] + 0.15 * rng.normal(size=(300, 16))
+    df = usable_vectors(_vector_table(spark, x), "cell_id", "person_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i in range(2400) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    got = collision_knn.most_similar(df, 5, 100, floor=0.9).toPandas()
+    assert set(zip(got.id, got.neighbour, strict=True)) == want and len(got) == len(want) > 300
+    written = []
+    write = collision_knn.SharedFolder.write
+
+    def measured(self, own, by):
+        write(self, own, by)
+        folder = Path(self.path.removeprefix("file:"))
+        written.append((folder, sum(p.stat().st_size for p in folder.rglob("*.parquet")), spark.read.parquet(str(folder)).count()))
+
+    monkeypatch.setattr(collision_knn.SharedFolder, "write", measured)
+    got = collision_knn.most_similar(df, 5, 100).toPandas()
+    assert len(got) == 12_000 and got.groupby("id")["cosine"].is_monotonic_decreasing.all()
+    [(folder, size, rows)] = written
+    assert rows == 2400 and size < 2400 * 16 * 8 * 4 and not folder.exists()
+    met, n = collision_knn.block_meetings(df, 5, 100)
+    assert met.count() > 0.9 * n * (n - 1)
+
+
 def test_nearest_among_many_copies(spark):
     rng = np.random.default_rng(21)
     x = rng.normal(size=(300, 8))

@@ -16,18 +16,24 @@ then it visits only those blocks that can hold a vector nearer than its k-th
 best so far, by the angle between it, the pivot and the block's farthest vector.
 Blocks far from each other never meet. Where the vectors have no structure at
 all, no block can be excluded, and the work grows as the square of a group,
-divided over tasks by pairs of blocks.
+divided over tasks by blocks. Other blocks are compared by a plain product, which
+costs less than their windows; they are read from files, never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecgauge.llm.vector_blocks import unit_matrix
-from vecgauge.session import cut
+from vecgauge.session import SharedFolder, cut, shuffles_removed
 
 #: Random projections of a block, those of them a query takes, and the share of an array kept at either end.
 N_PROJECTIONS, N_TAKEN, TAIL = 1024, 32, 0.12
@@ -42,8 +48,10 @@ MET_COST, VERIFY_COST = 3.0, 70.0
 SMALL = 500
 #: Fewer queries than this are verified against the whole block, which costs less than its sorted arrays.
 FEW = 300
-#: Blocks of a group around pivots of their own at most, and the queries of one search, in blocks.
-MAX_PIVOTS, QUERIES_PER_BLOCK = 1024, 2
+#: Blocks of a group around pivots of their own at most.
+MAX_PIVOTS = 1024
+#: Queries and vectors of a plain product at once, which stays in the cache.
+SLAB = 500, 1000
 
 
 def projections(dims: int, count: int, seed: int) -> np.ndarray:
@@ -196,64 +204,175 @@ def _pivots(key, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": key[0], "pivot": np.arange(len(taken)), "vec": part["vec"].iloc[taken].to_numpy(), "parts": part["parts"].iloc[0]})
 
 
-def _assign(key, part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """The nearest pivot of each vector, with the angle to it."""
-    if not len(part):
-        return pd.DataFrame(columns=["grp", "id", "vec", "cell", "angle"], dtype=object)
-    x, pivots = unit_matrix(part["vec"]), pivots.sort_values("pivot")
-    cell, cosine = np.zeros(len(x), int), np.empty(len(x))
-    centre = unit_matrix(pivots["vec"])
-    for low in range(0, len(x), 2000):
-        near = x[low : low + 2000] @ centre.T
-        cell[low : low + 2000] = near.argmax(1)
-        cosine[low : low + 2000] = near.max(1)
-    return pd.DataFrame({"grp": key[0], "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cell": cell, "angle": _angle(cosine)})
+def _assign(pivots):
+    """``grp, id, vec`` with the nearest pivot of each vector and the angle to it; groups without pivots are one cell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = pivots.value
+        for part in frames:
+            grp = part["grp"].to_numpy()
+            cell, angle = np.zeros(len(part), int), np.zeros(len(part))
+            for g in set(grp) & set(centres):
+                rows = np.flatnonzero(grp == g)
+                for low in range(0, len(rows), 2000):
+                    at = rows[low : low + 2000]
+                    near = unit_matrix(part["vec"].iloc[at]) @ centres[g].T
+                    cell[at], angle[at] = near.argmax(1), _angle(near.max(1))
+            yield part.assign(cell=cell, angle=angle)
+
+    return run
 
 
 def near_blocks(vectors: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``grp, id, vec, block`` with blocks of about ``block_rows`` near vectors at most, and ``grp, block, pivot, reach``: each block's pivot and the angle of its farthest vector.
+    """``grp, id, vec, block`` with blocks of about ``block_rows`` near vectors at most, and ``grp, block, pivot, reach`` of the groups of several blocks: each block's pivot and the angle of its cell's farthest vector.
 
     The pivots of a group, one for each ``block_rows`` vectors and at most
     ``MAX_PIVOTS``, are vectors far from each other out of a sample by the hash
     of the id of about four for each pivot and 60 more; every vector goes to the
     nearest pivot, and what a pivot has beyond a block is split by hash.
     """
-    whole = vectors
-    sizes = whole.groupBy("grp").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("wanted", F.least("parts", F.lit(MAX_PIVOTS)))
+    spark, whole = vectors.sparkSession, vectors
+    sizes = whole.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    sizes = F.broadcast(cut(sizes.withColumn("wanted", F.least("parts", F.lit(MAX_PIVOTS)))))
     uniform = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
     some = whole.join(sizes, "grp").where(uniform * F.col("n") <= 4 * F.col("wanted") + 60)
-    chosen = some.groupBy("grp").applyInPandas(_pivots, "g string, pivot long, vec array<double>, parts int")
-    pivots = cut(chosen.select("g", "pivot", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    spread = whole.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id", "vec")
-    assigned = cut(
-        spread.groupBy("grp", "part").cogroup(pivots.withColumnRenamed("g", "grp").groupBy("grp", "part"))
-        .applyInPandas(_assign, "grp string, id long, vec array<double>, cell long, angle double")
-    )
-    counts = assigned.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    blocks = assigned.join(counts, ["grp", "cell"]).withColumn("block", F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")))
-    middle = pivots.where("part = 0").select(F.col("g").alias("grp"), F.col("pivot").alias("cell"), F.col("vec").alias("pivot"))
-    reach = blocks.groupBy("grp", "cell", "block").agg(F.max("angle").alias("reach"))
-    return blocks.select("grp", "id", "vec", "block"), reach.join(middle, ["grp", "cell"]).select("grp", "block", "pivot", "reach")
-
-
-def _search_own(k: int):
+    pivots = cut(some.groupBy("grp").applyInPandas(_pivots, "g string, pivot long, vec array<double>, parts int").select("g", "pivot", "vec"))
+    centres: dict[str, list] = {}
+    for r in pivots.orderBy("g", "pivot").toLocalIterator():
+        centres.setdefault(r.g, []).append(np.array(r.vec))
+    shared = spark.sparkContext.broadcast({g: unit_matrix(pd.Series(v)) for g, v in centres.items()})
+    assigned = whole.mapInPandas(_assign(shared), "grp string, id long, vec array<double>, cell long, angle double")
+    cells = assigned.join(sizes.select("grp"), "grp", "left_semi").groupBy("grp", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"), F.max("angle").alias("reach"))
+    cells = F.broadcast(cut(cells))
+    number = lambda part: F.col("cell") * (1 << 20) + part
+    split = assigned.join(cells.select("grp", "cell", "parts"), ["grp", "cell"], "left")
+    blocks = split.withColumn("block", number(F.pmod(F.xxhash64("id", F.lit(2)), F.coalesce("parts", F.lit(1)))))
+    middle = pivots.select(F.col("g").alias("grp"), F.col("pivot").alias("cell"), F.col("vec").alias("pivot"))
+    directory = middle.join(cells, ["grp", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return blocks.select("grp", "id", "vec", "block"), directory.select("grp", number(F.col("part")).alias("block"), "pivot", "reach")
+
+
+def _may_hold(x: np.ndarray, bound: np.ndarray, pivots: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Whether a block can hold a vector as near as the bound of each of ``x``, by the angles between it, the block's pivot and its farthest vector."""
+    away = _angle(x @ pivots.T) - reach[None, :]
+    return away <= np.where(bound > -1, _angle(bound), 4.0)[:, None] + 1e-7
+
+
+class Best:
+    """The k best vectors of each query so far, with the cosine that a better one must reach."""
+
+    def __init__(self, k: int, x: np.ndarray, ids: np.ndarray, bound: np.ndarray):
+        self.k, self.x, self.ids, self.bound = k, x, ids, bound.copy()
+        self.narrow = x.astype(np.float32)
+        self.near, self.cosines = [np.zeros(0, np.int64)] * len(x), [np.zeros(0)] * len(x)
+
+    def meet(self, asking: np.ndarray, held: np.ndarray, held_ids: np.ndarray) -> None:
+        """Compares the queries ``asking`` with all of ``held``: in single precision first, and what can reach a bound exactly."""
+        narrow = np.ascontiguousarray(held.astype(np.float32).T)
+        for low in range(0, len(asking), SLAB[0]):
+            rows = asking[low : low + SLAB[0]]
+            for left in range(0, len(held), SLAB[1]):
+                rough = self.narrow[rows] @ narrow[:, left : left + SLAB[1]]
+                self._take(rows, rough, held[left : left + SLAB[1]], held_ids[left : left + SLAB[1]])
+
+    def _take(self, rows: np.ndarray, rough: np.ndarray, held: np.ndarray, held_ids: np.ndarray) -> None:
+        least = self.bound[rows]
+        free = np.flatnonzero(least <= -1)
+        if len(free) and len(held) > self.k + 1:  # without a bound the best k + 1 of these, one of which may be the query
+            least[free] = np.partition(rough[free], len(held) - self.k - 1, axis=1)[:, len(held) - self.k - 1]
+        q, h = np.divmod(np.flatnonzero(rough >= (least - 1e-5).astype(np.float32)[:, None]), len(held))
+        if not len(q):
+            return
+        exact = np.round(np.einsum("ij,ij->i", self.x[rows[q]], held[h]), 12)
+        ok = (exact >= self.bound[rows[q]]) & (held_ids[h] != self.ids[rows[q]])
+        q, h, exact = q[ok], h[ok], exact[ok]
+        edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:], strict=False):
+            r = rows[q[a]]
+            ids, cosines = np.concatenate([self.near[r], held_ids[h[a:b]]]), np.concatenate([self.cosines[r], exact[a:b]])
+            order = np.lexsort((ids, -cosines))[: self.k]
+            self.near[r], self.cosines[r] = ids[order], cosines[order]
+            if len(order) == self.k:
+                self.bound[r] = max(self.bound[r], cosines[order[-1]])
+
+
+def _search_own(k: int, floor: float = -2.0, visits: bool = False):
     def run(key, part: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
-            return pd.DataFrame(columns=["grp", "block", "id", "vec", "near", "cosines", "bound", "visits"], dtype=object)
+            return pd.DataFrame(columns=["grp", "no", "id", "vec", "near", "cosines", "bound", "visits"], dtype=object)
         x, ids = unit_matrix(part["vec"]), part["id"].to_numpy()
-        found = SortedProjections(x).nearest(x, ids, ids, k)
-        bound = np.array([c[-1] if len(c) == k else -2.0 for _, c in found])
+        best = Best(k, x, ids, np.full(len(x), floor))
+        if floor <= -1:
+            found = SortedProjections(x).nearest(x, ids, ids, k)
+            best.near, best.cosines = [ids[o] for o, _ in found], [c for _, c in found]
+            best.bound = np.array([c[-1] if len(c) == k else floor for _, c in found])
+        else:  # little reaches the floor, and the product finds all of it
+            best.meet(np.arange(len(x)), x, ids)
         other = directory["other"].to_numpy()
-        away = _angle(x @ unit_matrix(directory["pivot"]).T) - directory["reach"].to_numpy()[None, :]
-        visit = (away <= np.where(bound > -1, _angle(bound), 4.0)[:, None] + 1e-7) & (other != key[1])[None, :]
-        return pd.DataFrame({
-            "grp": key[0], "block": key[1], "id": ids, "vec": part["vec"].to_numpy(), "near": [ids[o] for o, _ in found], "cosines": [c for _, c in found],
-            "bound": bound, "visits": [other[v] for v in visit],
+        out = pd.DataFrame({
+            "grp": key[0], "no": directory["no"].iloc[0] if len(other) else -1, "id": ids, "vec": part["vec"].to_numpy(),
+            "near": best.near, "cosines": best.cosines, "bound": best.bound, "visits": None,
         })
+        if visits and len(other):
+            visit = _may_hold(x, best.bound, unit_matrix(directory["pivot"]), directory["reach"].to_numpy()) & (other != key[1])[None, :]
+            out["visits"] = [other[v] for v in visit]
+        return out
+
+    return run
+
+
+class _Files:
+    """Blocks in the shared folder, read by number."""
+
+    def __init__(self, folder: str):
+        self.system, self.path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+    def read(self, no: int, columns: list[str]) -> pa.Table:
+        files = [f for f in self.system.get_file_info(pafs.FileSelector(f"{self.path}/no={no}")) if f.path.endswith(".parquet")]
+        return pa.concat_tables([pq.read_table(f.path, columns=columns, filesystem=self.system, partitioning=None) for f in files])
+
+    @staticmethod
+    def unit(table: pa.Table) -> np.ndarray:
+        vec = table["vec"].combine_chunks()
+        x = vec.flatten().to_numpy().reshape(len(vec), -1)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _search_blocks(k: int, floor: float, folder: str):
+    """For each block, given with its group's directory, the best of its vectors' own block and of all others that can hold better ones.
+
+    Each of the others is read from its file and compared by a product in single
+    precision; what reaches the bound of a query is computed exactly.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = _Files(folder)
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield _search_block(k, floor, files, row.no, np.array(row.others), unit_matrix(pd.Series(row.pivots)), np.array(row.reaches))
 
     return run
 
 
+def _search_block(k: int, floor: float, files: _Files, no: int, others: np.ndarray, pivots: np.ndarray, reach: np.ndarray) -> pd.DataFrame:
+    own = files.read(no, ["grp", "id", "vec", "near", "cosines", "bound"])
+    x, ids = files.unit(own), own["id"].to_numpy()
+    best = Best(k, x, ids, own["bound"].to_numpy())
+    best.near = [np.array(v, np.int64) for v in own["near"].to_pylist()]
+    best.cosines = [np.array(v, float) for v in own["cosines"].to_pylist()]
+    # the nearest pivots first, so that bounds rise early
+    for at in np.argsort(-(pivots @ x.mean(0))):
+        if others[at] == no:
+            continue
+        asking = np.flatnonzero(_may_hold(x, best.bound, pivots[at : at + 1], reach[at : at + 1])[:, 0])
+        if not len(asking):
+            continue
+        table = files.read(int(others[at]), ["id", "vec"])
+        best.meet(asking, files.unit(table), table["id"].to_numpy())
+    return pd.DataFrame({"grp": own["grp"].to_pandas(), "id": ids, "near": best.near, "cosines": best.cosines})
+
+
 def _search_other(k: int):
     def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
@@ -271,18 +390,18 @@ def _spread(df: DataFrame, n: int, *keys: str):
     return df.repartition(int(min(max(2 * n, 1), 20_000)), *keys).groupBy(*keys)
 
 
-def _within_blocks(vectors: DataFrame, k: int, block_rows: int) -> tuple[DataFrame, int]:
-    """The search of each block in itself, with the blocks that each vector has to visit; the number of blocks."""
+_OWN = "grp string, no long, id long, vec array<double>, near array<long>, cosines array<double>, bound double"
+
+
+def _within_blocks(vectors: DataFrame, k: int, block_rows: int, floor: float = -2.0, visits: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The search of each block in itself, with the block's number, -1 where a group is one block; the numbered directory."""
     blocks, directory = near_blocks(vectors, block_rows)
-    known = cut(directory)
-    copies = known.select(F.col("grp").alias("g"), F.col("block").alias("other"), F.col("pivot").alias("pivot"), F.col("reach").alias("reach"))
-    copies = known.select(F.col("grp").alias("kg"), F.col("block").alias("kb")).join(copies, F.col("kg") == F.col("g")).drop("g")
-    n_blocks = known.count()
-    own = cut(
-        _spread(blocks, n_blocks, "grp", "block").cogroup(_spread(copies, n_blocks, "kg", "kb"))
-        .applyInPandas(_search_own(k), "grp string, block long, id long, vec array<double>, near array<long>, cosines array<double>, bound double, visits array<long>")
-    )
-    return own, n_blocks
+    known = cut(directory.withColumn("no", F.row_number().over(Window.orderBy("grp", "block")).cast("long")))
+    copies = known.select(F.col("grp").alias("g"), F.col("block").alias("other"), "pivot", "reach")
+    copies = known.select(F.col("grp").alias("kg"), F.col("block").alias("kb"), "no").join(copies, F.col("kg") == F.col("g")).drop("g")
+    n_tasks = known.count() + max(1, vectors.select("grp").distinct().count() // 8)
+    own = _spread(blocks, n_tasks, "grp", "block").cogroup(_spread(copies, n_tasks, "kg", "kb")).applyInPandas(_search_own(k, floor, visits), f"{_OWN}, visits array<long>")
+    return own if visits else own.drop("visits"), known
 
 
 def _beyond_copies(whole: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
@@ -310,13 +429,13 @@ def _beyond_copies(whole: DataFrame, k: int) -> tuple[DataFrame, DataFrame | Non
 
 
 def block_meetings(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> tuple[DataFrame, int]:
-    """``grp, block, visited``: the pairs of blocks of which vectors meet, and the number of blocks."""
-    own, n_blocks = _within_blocks(vectors, k, block_rows)
-    return own.select("grp", "block", F.explode("visits").alias("visited")).distinct(), n_blocks
+    """``grp, no, visited``: the pairs of blocks of which vectors meet, by the number of the one and the name of the other, and the number of blocks."""
+    own, known = _within_blocks(vectors, k, block_rows, visits=True)
+    return own.select("grp", "no", F.explode("visits").alias("visited")).distinct(), known.count()
 
 
-def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> DataFrame:
-    """``grp, id, neighbour, cosine, place``: for every vector its k most similar others of the same group.
+def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 10_000, floor: float = -2.0) -> DataFrame:
+    """``grp, id, neighbour, cosine, place``: for every vector its k most similar others of the same group, those of a cosine of ``floor`` or more.
 
     ``vectors`` has ``grp, id, vec`` with usable vectors and distinct ids within
     a group (see ``usable_vectors``). Equal cosines rank by the smaller id; a
@@ -325,21 +444,28 @@ def most_similar(vectors: DataFrame, k: int = 10, block_rows: int = 10_000) -> D
     Equal vectors are searched once for the first k + 1 of them, so that a group
     of copies of any size costs no more than its rows. Each task also holds the pivots of its group's blocks, some hundred bytes
     for every ``block_rows`` vectors.
+
+    The vectors are written twice: as they come, and by blocks with their best in
+    their own block. The blocks that a block has to visit are read from there, so
+    that disk grows with the vectors, however many blocks meet.
     """
-    kept, answers = _beyond_copies(cut(vectors), k)
-    own, _ = _within_blocks(kept, k, block_rows)
-    asking = own.select("grp", "id", "vec", "bound", F.explode("visits").alias("block"))
-    met = asking.groupBy("grp", "block").agg(F.ceil(F.count("*") / (QUERIES_PER_BLOCK * block_rows)).cast("int").alias("parts"))
-    met = cut(met.select(F.col("grp").alias("g"), F.col("block").alias("b"), F.col("parts").alias("parts")))
-    here = (F.col("grp") == F.col("g")) & (F.col("block") == F.col("b"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asked = asking.join(met, here).select("g", "b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vec", "bound")
-    held = own.join(met, here).select(F.col("g").alias("hg"), F.col("b").alias("hb"), every.alias("hpart"), F.col("id").alias("id"), F.col("vec").alias("vec"))
-    n_searches = met.agg(F.sum("parts")).first()[0] or 1
-    other = _spread(asked, n_searches, "g", "b", "part").cogroup(_spread(held, n_searches, "hg", "hb", "hpart")).applyInPandas(_search_other(k), "grp string, id long, neighbour long, cosine double")
-    found = own.select("grp", "id", F.explode(F.arrays_zip("near", "cosines")).alias("x")).select("grp", "id", F.col("x.near").alias("neighbour"), F.col("x.cosines").alias("cosine")).unionByName(other)
-    best = found.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "neighbour"))), 1, k).alias("best"))
-    placed = best.select("grp", "id", F.posexplode("best").alias("place", "b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"), (F.col("place") + 1).alias("place"))
+    spark = vectors.sparkSession
+    folder = SharedFolder(spark)
+    with shuffles_removed(spark):
+        kept, answers = _beyond_copies(cut(vectors.select("grp", "id", "vec")), k)
+        own, known = _within_blocks(kept, k, block_rows, floor)
+        folder.write(own, "no")
+        done = spark.read.schema(_OWN).parquet(folder.path)
+        found = done.where("no < 0").select("grp", "id", "near", "cosines")
+        n_blocks = known.count()
+        if n_blocks:
+            others = known.groupBy("grp").agg(F.collect_list(F.struct("no", "pivot", "reach")).alias("x"))
+            asking = known.select("grp", "no").join(others, "grp").select("no", F.col("x.no").alias("others"), F.col("x.pivot").alias("pivots"), F.col("x.reach").alias("reaches"))
+            asking = asking.repartition(min(n_blocks, 20_000), F.rand(1))
+            found = found.unionByName(asking.mapInPandas(_search_blocks(k, floor, folder.path), "grp string, id long, near array<long>, cosines array<double>"))
+        best = cut(found.where(F.size("near") > 0))
+    folder.remove()
+    placed = best.select("grp", "id", F.posexplode(F.arrays_zip("near", "cosines")).alias("place", "b")).select("grp", "id", F.col("b.near").alias("neighbour"), F.col("b.cosines").alias("cosine"), (F.col("place") + 1).alias("place"))
     return placed if answers is None else placed.unionByName(answers)
 
 
