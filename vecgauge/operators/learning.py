@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vecgauge.functions.scalars import dot
 from vecgauge.operators.geometry import comembership_strength, contingency_scores, gram, standardised
+from vecgauge.operators.resamples import resampled_auroc
 from vecgauge.operators.scores import auroc
 
 
@@ -246,12 +247,7 @@ def logistic_probe(rows: DataFrame, cs: tuple[float, ...] = CS) -> DataFrame:
 def bootstrap_auroc(rows: DataFrame, score: str, y: str, resamples: int) -> DataFrame:
     """``low, high, n_used``: 95 % interval of the AUROC over Poisson resamples; those of a single class do not count.
 
-    Each row meets the resamples in a map task; equal scores are added up before
-    the shuffle.
+    Each row meets the resamples in a map task, which sends on sums (see ``resamples``).
     """
-    # a row's work is that of all resamples, whatever few files the rows lie in
-    spread = rows.select(score, y, "id").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
-    copies = spread.select(score, y, "id", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    weighed = copies.withColumn("w", poisson_weight(F.col("resample"), F.col("id"))).where("w > 0")
-    per = auroc(weighed, ["resample"], score, y, "w").where("auroc is not null")
+    per = resampled_auroc(rows, score, y, resamples)
     return per.agg(F.percentile("auroc", F.lit(0.025)).alias("low"), F.percentile("auroc", F.lit(0.975)).alias("high"), F.count("*").alias("n_used"))
