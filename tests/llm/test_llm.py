@@ -304,6 +304,20 @@ def test_configurations_meet_the_demand():
 
 # --- 8: leaks
 
+
+def test_regions_of_many_documents_are_aligned_together(monkeypatch):
+    rng = np.random.default_rng(41)
+    items = [rng.integers(0, 300, 40).astype(np.int32) for _ in range(12)]
+    docs = [np.concatenate([rng.integers(-1, 300, 60), items[i % 12][: 20 + i % 9], rng.integers(-1, 300, 60)]).astype(np.int32) for i in range(60)]
+    searcher = leak_search.Searcher(items, np.ones(300), np.linalg.qr(rng.standard_normal((300, 64)))[0])
+    want = {(d, item, score) for d, w in enumerate(docs) for item, score in searcher.leaks(w).items()}
+    calls, one = [], leak_search.align
+    monkeypatch.setattr(leak_search, "align", lambda regions, *rest: calls.append(len(regions)) or one(regions, *rest))
+    frame = pd.DataFrame({"doc_id": range(60), "words": [w.tobytes() for w in docs]})
+    got = pd.concat(leak_search._search(type("Shared", (), {"value": searcher}))(iter([frame])))
+    assert set(got.itertuples(index=False, name=None)) == want and len(got) == len(want) >= 60
+    assert len(calls) == 1
+
 WORDS = [f"{a}{b}{c}" for a in ("bor", "ket", "lum", "nav", "pos", "rud") for b in ("an", "ef", "om", "ut") for c in ("gra", "hix", "jol", "mek", "zup")]
 
 

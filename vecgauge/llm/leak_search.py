@@ -40,6 +40,8 @@ MIN_COSINE = 0.3
 #: words reach, and not above 15 with 3 or 16 with 4 exchanged (10.5 and 10) and another word between.
 MIN_SHARED, MIN_SCORE, GAP = 9, 9.5, 0.5
 BLOCK, MARGIN = 32, 40
+#: Regions of one or many documents that are aligned together.
+ALIGNED = 2000
 #: Cells of a product of passages and item passages that a task forms at once.
 PRODUCT_CELLS = 8_000_000
 #: Products of the map tasks are added in this many portions first, so that no task reads those of all.
@@ -320,12 +322,12 @@ class Searcher:
         for low in range(0, len(starts), step):
             part = starts[low : low + step]
             around = words[part[0] : part[-1] + WINDOW]
-            near, window = np.nonzero(_latent(around, part - part[0], self.idf, self.space).astype(np.float32) @ self.latent.T >= MIN_COSINE)
+            near, window = np.divmod(np.flatnonzero(_latent(around, part - part[0], self.idf, self.space).astype(np.float32) @ self.latent.T >= MIN_COSINE), len(self.latent))
             found |= set(zip(self.owner[window].tolist(), (part[near] // BLOCK).tolist(), strict=True))
         return found
 
-    def leaks(self, words: np.ndarray) -> dict[int, float]:
-        """Item positions with the score of their best region."""
+    def pairs(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Item positions with the regions that can reach the score."""
         pairs: list[tuple[int, np.ndarray]] = []
         by_block: dict[int, list[int]] = {}
         for item, block in self.candidates(words):
@@ -336,25 +338,40 @@ class Searcher:
             shared = ((self.held[region][:, at >> 3] >> (at & 7).astype(np.uint8)) & 1).T
             enough = _bound(shared) >= MIN_SCORE
             pairs += [(i, region) for i, ok in zip(items, enough, strict=True) if ok]
-        best: dict[int, float] = {}
-        for low in range(0, len(pairs), 2000):
-            part = pairs[low : low + 2000]
-            for (item, _), score in zip(part, align([r for _, r in part], [self.items[i] for i, _ in part]), strict=True):
+        return pairs
+
+    def best(self, found: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, float]]:
+        """``document, item, score`` of the best region of each, from ``document, item, region`` of many documents, aligned together."""
+        best: dict[tuple[int, int], float] = {}
+        for low in range(0, len(found), ALIGNED):
+            part = found[low : low + ALIGNED]
+            for (doc, item, _), score in zip(part, align([r for _, _, r in part], [self.items[i] for _, i, _ in part]), strict=True):
                 if score >= MIN_SCORE:
-                    best[item] = max(best.get(item, 0.0), float(score))
-        return best
+                    best[doc, item] = max(best.get((doc, item), 0.0), float(score))
+        return [(doc, item, score) for (doc, item), score in best.items()]
+
+    def leaks(self, words: np.ndarray) -> dict[int, float]:
+        """Item positions with the score of their best region."""
+        return {item: score for _, item, score in self.best([(0, item, region) for item, region in self.pairs(words)])}
 
 
 def _search(searcher):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = searcher.value
         for f in frames:
-            rows = []
-            for doc, raw in zip(f["doc_id"], f["words"], strict=True):
+            rows: list[tuple[int, int, float]] = []
+            waiting: list[tuple[int, int, np.ndarray]] = []
+            for at, raw in enumerate(f["words"]):
                 words = np.frombuffer(raw, np.int32)
                 if (words >= 0).sum() >= MIN_SHARED:
-                    rows += [(doc, item, score) for item, score in s.leaks(words).items()]
+                    waiting += [(at, item, region) for item, region in s.pairs(words)]
+                if len(waiting) >= ALIGNED:  # all regions of a document are aligned at once
+                    rows += s.best(waiting)
+                    waiting = []
+            rows += s.best(waiting)
             if rows:
+                doc = f["doc_id"].to_numpy()
+                rows = [(doc[at], item, score) for at, item, score in rows]
                 yield pd.DataFrame(rows, columns=["doc_id", "pos", "score"])
 
     return run
